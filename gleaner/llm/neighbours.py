@@ -227,7 +227,7 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, tables: int = 8, hashes
                     out["key"].append(names[i])
                     out["score"].append(s)
                     out["ids"].append(ids[j])
-        return pd.DataFrame(out)
+        return pd.DataFrame({"key": out["key"], "score": out["score"], "ids": pd.Series(out["ids"], dtype=object)})
 
     by = ["bucket", "xb", "qb"]
     met = index.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(rerank, "key binary, score double, ids array<long>")

@@ -11,10 +11,13 @@ itself; an empty table gives an empty table; columns named as results are replac
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import DOCUMENTS, SPACES, table
+from gleaner.llm.common import DOCUMENTS, SPACES, WORD, table
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases of notices, menus and consent banners; matched in lower case.
@@ -23,6 +26,8 @@ BOILERPLATE = (
     "privacy policy", "cookie policy", "use of cookies", "accept cookies", "enable javascript", "javascript is disabled",
     "lorem ipsum", "click here", "sign in", "log in", "subscribe to our", "share this", "powered by", "skip to content",
 )
+#: One of them is in each phrase; a text without them needs no search for phrases.
+STEMS = ("reserved", "licens", "terms of", "policy", "cookie", "javascript", "ipsum", "click here", "sign in", "log in", "subscribe to", "share this", "powered by", "skip to")
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned", "lost", "kept")
 
 
@@ -30,20 +35,54 @@ def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
-def line_fails(line: Column, max_symbols: float = 0.1, max_shouts: float = 0.5) -> Column:
+def line_fails(line: Column, symbols: Column, shouts: Column, phrases: Column, max_symbols: float = 0.1, max_shouts: float = 0.5) -> Column:
     """True if a line with a word fails a rule. Blank lines never fail.
 
     navigation: two or more separators ``|``; boilerplate: a phrase of BOILERPLATE in a line of
     at most 20 words; punctuation: symbols over ``max_symbols`` of the characters in words, or
-    more than half of the words end in ``!!``, or no letter or digit at all.
+    more than half of the words end in ``!!``, or no letter or digit at all. ``symbols``, ``shouts`` and
+    ``phrases`` tell whether the text has any, so that most lines are tested for a letter or digit only.
     """
     chars = F.length(_without(line, SPACES))
-    words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     navigation = F.length(line) - F.length(_without(line, "|")) >= 2
+    crowded = F.length(line) - F.length(_without(line, SYMBOLS)) > chars * max_symbols
+    words = F.regexp_count(line, F.lit(WORD))
+    shouting = F.regexp_count(line, F.lit(r"!!(?=[\x20\x09-\x0D]|$)")) > words * max_shouts
     boilerplate = F.lower(line).rlike("|".join(BOILERPLATE)) & (words <= 20)
-    symbols = chars - F.length(_without(_without(line, SPACES), SYMBOLS)) > chars * max_symbols
-    shouts = F.regexp_count(line, F.lit(r"!!(?=[\x20\x09-\x0D]|$)")) > words * max_shouts
-    return (chars > 0) & (navigation | symbols | shouts | ~line.rlike(r"[\p{L}\p{N}]") | boilerplate)
+    mute = ~line.rlike(r"[\p{L}\p{N}]") & line.rlike(WORD)
+    return mute | (symbols & (navigation | crowded)) | (shouts & shouting) | (phrases & boilerplate)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda's variable holds it, whatever the optimizer merges or pushes down."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeated_words(words: Column) -> Column:
+    """Words that lie in three-word windows found twice or more; ``words`` must be a lambda's variable.
+    Windows are compared by 64-bit hashes, and only texts with an equal pair are sorted."""
+
+    def covered(at: Column) -> Column:
+        # A window covers three words; the next one starts b - a later.
+        steps = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.least(F.lit(3), b - a))
+        return F.aggregate(steps, F.lit(3), lambda a, b: a + b)
+
+    def sorted_places(h: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        again = _let(placed, lambda p: F.filter(p, lambda x, k: (x["h"] == F.get(p, k - 1)["h"]) | (x["h"] == F.get(p, k + 1)["h"])))
+        return F.sort_array(F.transform(again, lambda x: x["i"]))
+
+    def places(h: Column) -> Column:
+        # A few repeated windows are looked up one by one; for many, windows are sorted with their places.
+        twice = _let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, k: x == F.get(s, k + 1))))
+        few = lambda d: F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(d, x), i)), lambda i: i.isNotNull())
+        return _let(twice, lambda d: F.when(F.size(d) <= 24, few(d)).otherwise(sorted_places(h)))
+
+    def repeats(h: Column) -> Column:
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(places(h), covered))
+
+    windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(F.size(words) < 3, F.lit(0)).otherwise(_let(windows, repeats))
 
 
 def quality(docs: DataFrame, text_col: str = "text", max_lost: float = 0.5, min_words: int = 50) -> DataFrame:
@@ -52,75 +91,46 @@ def quality(docs: DataFrame, text_col: str = "text", max_lost: float = 0.5, min_
 
     ``kept`` is false where the base rule fails (under ``min_words`` words, or over half of the
     words lie in three-word windows that the text repeats) or where ``lost`` is over ``max_lost``.
-    Three-word windows are compared by 64-bit hashes of their words.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
     rest = [c for c in docs.columns if c.lower() not in RESULTS]
-    df = docs.select(*rest, text.alias("_t"))
-    df = df.select(
-        *rest,
-        "_t",
-        F.split("_t", "\n", -1).alias("_lines"),
-        F.filter(F.split(F.translate("_t", SPACES[1:], " " * 5), " ", -1), lambda w: w != "").alias("_words"),
-    )
-    df = df.select(
-        *rest,
-        "_t",
-        F.size("_words").alias("_n"),
-        F.length(_without(F.col("_t"), SPACES)).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(_without(F.col("_t"), SYMBOLS))).cast("long").alias("n_symbols"),
-        F.filter("_lines", lambda s: s.rlike(r"[^\x20\x09-\x0D]")).alias("_full"),
-        F.filter("_lines", lambda s: ~line_fails(s)).alias("_good"),
-        F.size("_lines").alias("_all"),
-        F.when(
-            F.size("_words") >= 3,
-            F.transform(
-                F.sequence(F.lit(0), F.size("_words") - 3),
-                lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)),
-            ),
-        ).alias("_h"),
-    )
-    df = df.select(
-        "*",
-        # Only texts with an equal pair of windows are sorted.
-        F.when(
-            F.size(F.array_distinct("_h")) < F.size("_h"),
-            F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-        ).alias("_p"),
-        F.when(F.size("_good") == F.col("_all"), F.col("_t")).otherwise(F.array_join("_good", "\n")).alias("cleaned"),
-    )
-    df = df.select(
-        "*",
-        F.sort_array(
-            F.transform(
-                F.filter("_p", lambda p, k: (p["h"] == F.get("_p", k - 1)["h"]) | (p["h"] == F.get("_p", k + 1)["h"])),
-                lambda p: p["i"],
-            )
-        ).alias("_at"),
-    )
-    # A window covers three words; the next one starts _at[k + 1] - _at[k] later.
-    steps = F.zip_with(F.slice("_at", 1, F.size("_at") - 1), F.slice("_at", 2, F.size("_at") - 1), lambda a, b: F.least(F.lit(3), b - a))
-    df = df.select(
-        *rest,
-        F.col("_n").cast("long").alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_at") > 0, F.aggregate(steps, F.lit(3), lambda a, b: a + b)).otherwise(0).cast("long").alias("n_repeat_words"),
-        "cleaned",
-        F.when(
-            F.col("word_chars") > 0,
-            1.0 - F.length(_without(F.col("cleaned"), SPACES)) / F.col("word_chars"),
-        ).otherwise(0.0).alias("lost"),
-    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def counts(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            repeated_words(w).cast("long").alias("n_repeat_words"),
+        )
+
+    phrases = _let(F.lower("_t"), lambda low: reduce(or_, [F.contains(low, F.lit(x)) for x in STEMS]))
+    symbols = F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long")
+
+    def lines(v: Column) -> Column:
+        full = F.filter(v["lines"], lambda s: s.rlike(WORD))
+        bad = F.filter(v["lines"], lambda s: line_fails(s, v["symbols"] > 0, v["shouts"], v["phrases"]))
+        good = F.filter(v["lines"], lambda s: ~line_fails(s, v["symbols"] > 0, v["shouts"], v["phrases"]))
+        return F.struct(
+            v["symbols"].alias("n_symbols"),
+            _let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            _let(bad, lambda x: F.when(F.size(x) == 0, F.lit(None)).otherwise(F.array_join(good, "\n"))).alias("cleaned"),
+        )
+
+    line_input = F.struct(F.split("_t", "\n", -1).alias("lines"), symbols.alias("symbols"), F.contains("_t", F.lit("!!")).alias("shouts"), phrases.alias("phrases"))
+    word_counts = _let(F.filter(F.split("_t", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""), counts)
+    # A generator of one row: what it gives is computed once, whatever is filtered or selected from it.
+    once = F.inline(F.array(F.struct(word_counts.alias("_w"), _let(line_input, lines).alias("_l"))))
+    df = docs.select(*rest, text.alias("_t")).select(*rest, "_t", once)
+    left = F.length(_without(F.col("_l.cleaned"), SPACES))  # null, so nothing is lost, where no line was removed
+    lost = F.when(F.col("_w.word_chars") > 0, F.coalesce(1.0 - left / F.col("_w.word_chars"), F.lit(0.0))).otherwise(0.0)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    df = df.select(*rest, "_w.*", "_l.n_symbols", "_l.n_dup_lines", F.coalesce("_l.cleaned", "_t").alias("cleaned"), lost.alias("lost"))
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("lost") <= max_lost)).select(*rest, *RESULTS)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Kept documents with their failing lines removed; n_chars follows the text."""
-    kept = quality(docs).where("kept")
-    return kept.withColumn("text", F.col("cleaned")).withColumn("n_chars", F.length("cleaned").cast("long")).select(*DOCUMENTS)
+    judged = quality(docs.select(*DOCUMENTS))
+    return judged.where("kept").withColumn("text", F.col("cleaned")).withColumn("n_chars", F.length("cleaned").cast("long")).select(*DOCUMENTS)
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
