@@ -1 +1,26 @@
-""" """
+"""Structured Streaming forms of the windowed queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Watermarks need an instant: ``ts`` without a zone counts as UTC of the session."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
+def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    g = _timed(events, late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return g.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    g = _timed(events, late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return g.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", "total")
+
+
+def run_available(result: DataFrame, path: str, checkpoint: str):
+    """Appends what is there to Parquet and ends; a rerun goes on from the checkpoint, and rows are written once."""
+    return result.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
