@@ -20,7 +20,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 
 from gleaner.llm.common import map_rows, table, taken
-from gleaner.llm.tokens import vocabulary
+from gleaner.llm.tokens import byte_characters, vocabulary
 
 END = 256
 
@@ -90,18 +90,11 @@ class LongestMatch:
         return sum(map(known.__getitem__, words))
 
 
-def _byte_of() -> dict[str, int]:
-    """The printable characters that stand for bytes in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-
-
 def pieces_of(path: str, suffix: str = "</w>") -> list[tuple[int, ...]]:
     """The pieces of a byte-level vocabulary file whose word ends are marked by ``suffix``."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
-    of, out = _byte_of(), []
+    of, out = {c: b for b, c in byte_characters().items()}, []
     for name in vocab:
         stem = name.removesuffix(suffix)
         if all(c in of for c in stem):
