@@ -232,7 +232,8 @@ def _pairs(pa, out):
 def _met(distinct: DataFrame) -> DataFrame:
     """(a, b): links that reach all pairs within two bits, through the values within one bit of each."""
     flips = [0] + [(1 << b) - ((1 << 64) if b == 63 else 0) for b in range(BITS)]
-    spread = distinct.select("fp", F.col("fp").bitwiseXOR(F.explode(F.array(*map(F.lit, flips)))).alias("at"))
+    spread = distinct.select("fp", F.explode(F.array(*map(F.lit, flips))).alias("flip"))
+    spread = spread.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
     first = spread.groupBy("at").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z")
     return spread.join(first, "at").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
