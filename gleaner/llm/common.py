@@ -55,5 +55,6 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
                 if len(got[out.names[0]]):
                     yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
                 at = end
+        pa.default_memory_pool().release_unused()  # workers are kept from stage to stage
 
     return df.mapInArrow(run, schema)

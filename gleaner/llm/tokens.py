@@ -36,9 +36,9 @@ def byte_characters() -> dict[int, str]:
 
 
 class Encoder:
-    """Little-endian unsigned 32-bit ids of texts; at most ``most`` words are remembered."""
+    """Little-endian unsigned 32-bit ids of texts; at most about ``most`` words are remembered."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,8 +65,8 @@ class Encoder:
         out = []
         for x in texts:
             x = x or ""
-            if len(self.words) > self.most:
-                self.words.clear()
+            if len(self.words) > self.most // 2:
+                self.words.age()
             if not _OTHER.search(x) and "<|" not in x:
                 out.append(b"".join(map(self.words.__getitem__, self.pattern.findall(x.lower() if self.lower else x))))
             elif _ODD.search(x):
@@ -84,15 +84,22 @@ class Encoder:
 
 
 class _Known(dict):
-    """Values that are made once asked for."""
+    """Values that are made once asked for. What was not asked for between two calls of age() is forgotten."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
