@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -45,7 +46,8 @@ def grammar(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 4, least
             break
         bucket = (seq[:-1] * np.uint32(2654435761) + seq[1:] * np.uint32(2246822519)) >> np.uint32(12)
         size = np.bincount(bucket, minlength=1 << 20)
-        size_floor = max(least, int(np.partition(size, -2 * per_round)[-2 * per_round]))
+        reached = np.cumsum(np.bincount(size)[::-1])  # buckets of at least max, max - 1, ... pairs
+        size_floor = max(least, len(reached) - 1 - int(np.searchsorted(reached, 2 * per_round)))
         at = np.nonzero((size >= size_floor)[bucket] & ~last[:-1])[0]
         if not len(at):
             break
@@ -80,6 +82,18 @@ def grammar(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 4, least
     return seq, last, rules
 
 
+def levels(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rules, in order, whose symbols are terminals or rules of earlier ranges; about one for each round."""
+    start, highest = 0, rules.max(axis=1, initial=0).astype(np.int64) - base
+    while start < len(rules):
+        later = np.nonzero(highest[start:] >= start)[0]
+        stop = start + int(later[0]) if len(later) else len(rules)
+        if stop == start:
+            raise ValueError(f"rule {start} is not made of earlier symbols")
+        yield start, stop
+        start = stop
+
+
 def write_block(doc_ids: list[int | None], packed: list[bytes], rounds: int = 4) -> bytes:
     """One block from the packed ids (unsigned 32-bit) of documents, none empty."""
     tokens = np.array([len(x) // 4 for x in packed], np.int64)
@@ -89,8 +103,8 @@ def write_block(doc_ids: list[int | None], packed: list[bytes], rounds: int = 4)
     base = int(ids.max()) + 1
     seq, last, rules = grammar(ids, last, base, rounds)
     length = np.ones(base + len(rules), np.uint32)
-    for r, (a, b) in enumerate(rules.tolist()):
-        length[base + r] = length[a] + length[b]
+    for start, stop in levels(rules, base):
+        length[base + start : base + stop] = length[rules[start:stop]].sum(axis=1)
     width = 2 if base + len(rules) <= 1 << 16 else 4
     ends = np.nonzero(last)[0] + 1
     null = np.array([d is None for d in doc_ids], np.uint8)
@@ -128,10 +142,9 @@ class Block:
         self.starts = np.concatenate([np.arange(self.base), self.base + np.cumsum(lengths) - lengths]).astype(np.int64)
         self.flat = np.zeros(self.base + int(lengths.sum()), "<u4")
         self.flat[: self.base] = np.arange(self.base)
-        for r, (a, b) in enumerate(self.rules.tolist()):
-            s, m, k = self.starts[self.base + r], self.length[a], self.length[b]
-            self.flat[s : s + m] = self.flat[self.starts[a] : self.starts[a] + m]
-            self.flat[s + m : s + m + k] = self.flat[self.starts[b] : self.starts[b] + k]
+        for start, stop in levels(self.rules, self.base):
+            at = int(self.starts[self.base + start])
+            self.flat[at : at + int(lengths[start:stop].sum())] = self._expand(self.rules[start:stop].ravel())
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         n = self.length[symbols]
@@ -157,8 +170,8 @@ class Block:
 BLOCKS = "part int, block int, n_docs int, n_tokens long, data binary"
 
 
-def token_blocks(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int = 1 << 20, rounds: int = 4) -> DataFrame:
-    """BLOCKS in ascending doc_id order by (part, block)."""
+def token_blocks(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int = 1 << 20, rounds: int = 4, words: int = 600_000) -> DataFrame:
+    """BLOCKS in ascending doc_id order by (part, block). Each worker remembers the ids of at most about ``words`` words."""
     import pyarrow as pa
 
     end = np.array([end_id], "<u4").tobytes()
@@ -176,7 +189,7 @@ def token_blocks(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                for doc, x in zip(some.column("doc_id").to_pylist(), encoder(path).encode(some.column("text").to_pylist())):
+                for doc, x in zip(some.column("doc_id").to_pylist(), encoder(path, words).encode(some.column("text").to_pylist())):
                     if ids and size + len(x) + 4 > 4 * shard_tokens:
                         yield row()
                         block, ids, packed, size = block + 1, [], [], 0

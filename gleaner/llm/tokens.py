@@ -102,9 +102,9 @@ class _Known(dict):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One for each path and worker process."""
-    return Encoder(path)
+def encoder(path: str, most: int = 300_000) -> Encoder:
+    """One for each path, bound and worker process."""
+    return Encoder(path, most)
 
 
 def vocabulary(name: str, path: str | None = None) -> str:
