@@ -33,6 +33,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """One row of ``df`` for each value of ``key``, as a table of buckets in the shared folder: it is shuffled once, and
+    not again by joins and groups on ``key``. As many buckets as the session has shuffle partitions."""
+    spark = df.sparkSession
+    n, called = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
+    one = df.repartition(n, key).dropDuplicates([key])
+    one.write.bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/{called}").saveAsTable(called)
+    return spark.table(called)
+
+
 def remove(df: DataFrame) -> None:
     """Deletes the files of a table made by written()."""
     spark = df.sparkSession
