@@ -10,7 +10,6 @@ string of a special token, is encoded in one piece.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
@@ -58,32 +57,23 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _merged(self, word: str) -> bytes:
-        bare = word[1:] if word[0] == " " else word
-        if bare.isascii() and bare.isalnum():  # these stand for themselves
-            mapped = word if bare is word else self.of_byte[32] + bare
-        else:
-            mapped = word.encode().decode("latin-1").translate(self.of_byte)
+        mapped = word.encode().decode("latin-1").translate(self.of_byte)
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text, in order; null is empty."""
-        collecting = gc.isenabled()
-        gc.disable()  # the merges make many small lists, and no cycles
-        try:
-            return list(map(self._encoded, texts))
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encoded(self, x: str | None) -> bytes:
-        x = x or ""
-        if len(self.words) > self.most // 2:
-            self.words.age()
-        if not _OTHER.search(x) and "<|" not in x:
-            return b"".join(map(self.words.__getitem__, self.pattern.findall(x.lower() if self.lower else x)))
-        if _ODD.search(x):
-            return self._whole([x])[0]
-        return self._cut(x.replace("\n", " ").split(" ") if self.spaceless else _CHUNK.findall(x))
+        out = []
+        for x in texts:
+            x = x or ""
+            if len(self.words) > self.most // 2:
+                self.words.age()
+            if not _OTHER.search(x) and "<|" not in x:
+                out.append(b"".join(map(self.words.__getitem__, self.pattern.findall(x.lower() if self.lower else x))))
+            elif _ODD.search(x):
+                out.append(self._whole([x])[0])
+            else:
+                out.append(self._cut(x.replace("\n", " ").split(" ") if self.spaceless else _CHUNK.findall(x)))
+        return out
 
     def _cut(self, parts: list[str]) -> bytes:
         if len(self.cuts) > self.most // 4:
