@@ -331,6 +331,21 @@ def test_passages(spark):
     assert got[1]["spans"] == "200:255" and got[2]["spans"] == "30:85" and got[11]["spans"] == "0:120" and got[5]["spans"] == "20:140"
 
 
+def texts_of(seed, n):
+    rng = np.random.default_rng(seed)
+    return lambda n=n: [f"{w:06x}".encode() for w in rng.integers(0, 1 << 24, n)]
+
+
+@pytest.mark.parametrize("n", [50, 55, 60])
+def test_a_replaced_word_leaves_a_signature(n):
+    text = texts_of(n, n)
+    for _ in range(50):
+        x = text()
+        y = [*x[: n // 2], b"other", *x[n // 2 + 1 :]]
+        a, b = (passages.Text(text(40) + z + text(40), 50, 0.8) for z in (x, y))
+        assert np.intersect1d(*(passages.signatures(z.words, 50, 0.8)[0] for z in (a, b))).size
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
