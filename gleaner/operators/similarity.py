@@ -53,6 +53,37 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "neighbour", "score")
 
 
+def linked(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that connect what all pairs of rows (id, v) with an inner product of ``least`` or more connect.
+    Each pair of blocks compares all its pairs and gives spanning links of them, fewer than it has rows."""
+
+    def run(batches):
+        for batch in batches:
+            for q, x in zip(batch.column("q_rows"), batch.column("x_rows")):
+                qi, xi = (c.values.field("id").to_numpy(zero_copy_only=False) for c in (q, x))
+                qv, xv = (np.stack(c.values.field("v").to_numpy(zero_copy_only=False)) for c in (q, x))
+                near = qv @ xv.T >= least
+                a, b = [], []
+                new, todo = np.ones(len(xi), bool), np.ones(len(qi), bool)
+                for first in range(len(qi)):
+                    stack = [first] if todo[first] else []
+                    todo[first] = False
+                    while stack:
+                        k = stack.pop()
+                        for j in np.nonzero(near[k] & new)[0]:
+                            new[j] = False
+                            more = np.nonzero(near[:, j] & todo)[0]
+                            todo[more] = False
+                            stack += more.tolist()
+                            a += [qi[k], *qi[more]]
+                            b += [xi[j]] * (1 + len(more))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    blocks = _packed(rows, "q")
+    met = blocks.join(blocks.select(F.col("q").alias("x"), F.col("q_rows").alias("x_rows")), F.col("q") <= F.col("x"))
+    return met.select("q_rows", "x_rows").mapInArrow(run, "a long, b long").where("a <> b")
+
+
 def rule_score(same_verb: Column, difference: Column) -> Column:
     return F.greatest(F.lit(0.0), F.when(same_verb, 0.95).otherwise(0.79) - F.least(F.lit(0.14), F.abs(difference) * 0.002))
 

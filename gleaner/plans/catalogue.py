@@ -348,10 +348,8 @@ def q_lemma_verbs(spark, root: str) -> DataFrame:
 
 @query()
 def q_threshold_components(spark, root: str) -> DataFrame:
-    """Single linkage at a similarity of 0.35 over the five nearest of each vector."""
-    f = t.features(spark, root).select("id", "v")
-    near = similarity.nearest(f, f, 5).where("score >= 0.35")
-    return connected_components(near.select(F.col("id").alias("a"), F.col("neighbour").alias("b")))
+    """Single linkage at a similarity of 0.35 over all pairs of vectors."""
+    return connected_components(similarity.linked(t.features(spark, root).select("id", "v"), 0.35))
 
 
 @query()

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,20 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_links_reach_what_all_pairs_reach(spark, monkeypatch):
+    from gleaner.operators import similarity
+    from gleaner.operators.graph import connected_components
+
+    monkeypatch.setattr(similarity, "BLOCK", 32)
+    x = np.random.default_rng(2).normal(size=(90, 12))
+    x[:8] = x[0]  # more copies than five
+    x[8] = x[0] + 0.9 * x[8]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.7
+    reach = np.linalg.matrix_power(near.astype(float), 90) > 0
+    want = {i: int(reach[i].argmax()) for i in range(90) if near[i].sum() > 1}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {r["node"]: r["root"] for r in connected_components(similarity.linked(rows, 0.7)).collect()}
+    assert got == want and got[8] == 0
