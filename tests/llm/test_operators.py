@@ -192,6 +192,13 @@ def test_pii(docs, odd, spark):
     assert not any(k == "email" for r in clean for k, *_ in slow_base(r["text"]))
 
 
+def test_secrets_after_equals_signs_and_long_ones():
+    for token in ("abcd1234efgh5678ijkl9012", "a1B2" * 75, "a1B2" * 75 + "=="):
+        for x in (f"api_key={token}", f"key = {token} end", f'"{token}"'):
+            at = x.index(token)
+            assert [c[:3] for c in pii.candidates(x) if c[0] == "secret"] == [("secret", at, at + len(token))]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_is_the_tokenizer(name, docs):
     e = tokens.Encoder(tokens.vocabulary(name), most=500)
