@@ -365,6 +365,17 @@ def test_passages_over_inserted_words_and_before_heavy_edits():
     assert s == 0 and e >= 91
 
 
+def test_passages_whose_leader_holds_a_part(spark):
+    text = texts_of(2, 52)
+    rows = []
+    for k in range(0, 60, 3):
+        x = text()
+        rows += [(k, text(60) + x[:49] + text(9)), (k + 1, text(30) + x), (k + 2, x + text(80))]
+    df = spark.createDataFrame([(d, b" ".join(w).decode()) for d, w in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in passages.repeated_passages(df).collect()}
+    assert got == {k + i: k + 1 for k in range(0, 60, 3) for i in (1, 2)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
