@@ -29,15 +29,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, size: int = 512, char_col: str | None = None, chars: int = 4_000_000) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, size: int = 512, char_col: str | None = None, chars: int = 4_000_000, begin: Callable[[], Callable] | None = None) -> DataFrame:
     """mapInArrow over lists of column values. fn gets at most ``size`` rows at once, and at most about
-    ``chars`` characters of ``char_col`` unless one row has more, so memory is bounded by a batch."""
+    ``chars`` characters of ``char_col`` unless one row has more, so memory is bounded by a batch. ``begin``, if
+    given, makes the function anew for each partition, for one that remembers what it has seen there."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_rows = begin() if begin else fn
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -51,7 +53,7 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
                         cut += 1
                     end = cut
                 part = batch.slice(at, end - at)
-                got = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
+                got = of_rows({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 if len(got[out.names[0]]):
                     yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
                 at = end

@@ -28,84 +28,114 @@ from gleaner.sources.shared import written
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
-    """(doc_id, piece, start, length, ids, ids_crc32): ids packed as little-endian unsigned 32-bit integers."""
+    """(doc_id, piece, start, length, ids, ids_crc32, part, nth): ids packed as little-endian unsigned 32-bit integers;
+    ``part`` is the partition that cut a piece, ``nth`` its number among that partition's pieces of the same length.
+    Pieces are cut and numbered by one function, so that a task has one Python worker."""
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(rows):
-        out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids", "ids_crc32")}
-        for doc, ids in zip(rows["doc_id"], encoder(path).encode(rows["text"])):
-            ids += end
-            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at : at + 4 * capacity]
-                for name, v in zip(out, (doc, k, at // 4, len(part) // 4, part, zlib.crc32(part))):
-                    out[name].append(v)
-        return out
+    def begin():
+        from pyspark import TaskContext
+
+        task, seen = TaskContext.get().partitionId(), {}
+
+        def run(rows):
+            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids", "ids_crc32", "part", "nth")}
+            for doc, ids in zip(rows["doc_id"], encoder(path).encode(rows["text"])):
+                ids += end
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    n = len(part) // 4
+                    for name, v in zip(out, (doc, k, at // 4, n, part, zlib.crc32(part), task, seen.get(n, 0))):
+                        out[name].append(v)
+                    seen[n] = seen.get(n, 0) + 1
+            return out
+
+        return run
 
-    return map_rows(taken(docs, "doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long", char_col="text")
+    schema = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, part int, nth long"
+    return map_rows(taken(docs, "doc_id", "text"), None, schema, char_col="text", begin=begin)
 
 
-class _Free:
-    """Counts of lengths still to be packed, and the lengths that have any."""
+class _Index:
+    """Lengths still to be packed, indexed by the sums of one, two and three of them.
+
+    ``single`` has the lengths that are left, ``pairs`` for each sum the number of ways to make it of two lengths that
+    the counts allow; it is kept up to date as lengths run out. The sums of three are those of a length and a pair.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.count = counts.astype(np.int64).copy()
-        self.any = self.count > 0
-
-    def take(self, length: int, n: int) -> None:
-        self.count[length] -= n
-        self.any[length] = self.count[length] > 0
+        self.single = self.count > 0
+        n = len(counts)
+        self.pairs = np.zeros(2 * n, np.int64)
+        for a in np.nonzero(self.single)[0].tolist():
+            self._add(a, a, 1)
+            if self.count[a] >= 2:
+                self.pairs[2 * a] += 1
+
+    def _add(self, a: int, below: int, sign: int) -> None:
+        """Counts, or no longer counts, the pairs of ``a`` with the lengths under ``below``."""
+        other = np.nonzero(self.single[:below])[0]
+        self.pairs[other[other != a] + a] += sign
+
+    def change(self, length: int, n: int) -> None:
+        """``n`` more pieces of ``length``, or fewer."""
+        before, after = int(self.count[length]), int(self.count[length]) + n
+        self.count[length] = after
+        if (before > 0) != (after > 0):
+            self.single[length] = after > 0
+            self._add(length, len(self.single), 1 if after > 0 else -1)
+        self.pairs[2 * length] += (after >= 2) - (before >= 2)
 
     def pair(self, total: int) -> tuple[int, int] | None:
         """The two lengths a >= b of sum ``total`` with the largest a."""
-        if total < 2:
+        if total < 2 or not self.pairs[total]:
             return None
-        hit = np.nonzero(self.any[1:total] & self.any[total - 1 : 0 : -1])[0] + 1
-        for a in hit[::-1]:
-            a, b = int(a), total - int(a)
-            if a < b:
-                return None
-            if a != b or self.count[a] >= 2:
-                return a, b
-        return None
+        top = min(total - 1, len(self.single) - 1)
+        a = np.arange(top, (total - 1) // 2, -1)
+        fits = self.single[a] & self.single[total - a] & ((2 * a != total) | (self.count[a] >= 2))
+        a = int(a[fits.argmax()])
+        return a, total - a
 
     def triple(self, total: int) -> tuple[int, int, int] | None:
-        for a in np.nonzero(self.any[1 : max(total - 1, 1)])[0][::-1] + 1:
-            a = int(a)
-            if 3 * a < total:
-                return None
-            self.count[a] -= 1
-            self.any[a] = self.count[a] > 0
+        """Three lengths a >= b >= c of sum ``total`` with the largest a."""
+        for a in self._firsts(total):
+            self.change(a, -1)  # the pair must leave it one piece
             two = self.pair(total - a)
-            self.count[a] += 1
-            self.any[a] = True
+            self.change(a, 1)
             if two and two[0] <= a:
                 return a, *two
         return None
 
+    def _firsts(self, total: int) -> list[int]:
+        if total < 3:
+            return []
+        a = np.arange(min(total - 2, len(self.single) - 1), (total - 1) // 3, -1)
+        return a[self.single[a] & (self.pairs[total - a] > 0)].tolist()
+
     def complement(self, gap: int) -> tuple[int, ...] | None:
         """One, two or three lengths of sum ``gap``."""
-        if self.any[gap]:
+        if self.single[gap]:
             return (gap,)
         return self.pair(gap) or self.triple(gap)
 
 
 def pack_counts(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Patterns [(length, times), ...] and in how many sequences each is used; counts[n] pieces of length n are used up."""
-    free, out, later = _Free(counts), [], []
+    free, out = _Index(counts), []
 
     def use(pattern: tuple[int, ...]) -> None:
         need = {x: pattern.count(x) for x in pattern}
         n = min(int(free.count[x]) // k for x, k in need.items())
         for x, k in need.items():
-            free.take(x, n * k)
+            free.change(x, -n * k)
         out.append((sorted(need.items(), reverse=True), n))
 
     for length in range(capacity, 0, -1):
         while free.count[length]:
-            free.take(length, 1)  # its own complement must leave it
+            free.change(length, -1)  # its own complement must leave it
             rest = free.complement(capacity - length) if length < capacity else ()
-            free.count[length] += 1
-            free.any[length] = True
+            free.change(length, 1)
             if rest is None:
                 break
             use((length, *rest))
@@ -119,11 +149,11 @@ def pack_counts(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int,
                 if times:
                     pattern[fits] = pattern.get(fits, 0) + times
                     gap -= times * fits
-                below = np.nonzero(free.any[1 : min(gap, fits - 1) + 1])[0]
+                below = np.nonzero(free.single[1 : min(gap, fits - 1) + 1])[0]
                 fits = int(below[-1]) + 1 if len(below) else 0
             n = min(int(free.count[x]) // k for x, k in pattern.items())
             for x, k in pattern.items():
-                free.take(x, n * k)
+                free.change(x, -n * k)
             out.append((list(pattern.items()), n))
     return out
 
@@ -146,7 +176,7 @@ def runs_of(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.n
 
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """``pieces`` with sequence_id and offset added; pieces has a ``length`` of 1 to capacity, and ``part`` and ``nth``
-    from numbered(). The driver gets the histogram only: capacity rows at most."""
+    of token_pieces(), as read back from a table. The driver gets the histogram only: capacity rows at most."""
     cells = pieces.groupBy("part", "length").count()
     order = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = cells.select("part", "length", F.coalesce(F.sum("count").over(order), F.lit(0)).alias("before"))
@@ -169,28 +199,6 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     return placed.select(*[c for c in pieces.columns if c not in ("part", "nth")], "_at.sequence_id", "_at.offset")
 
 
-def numbered(pieces: DataFrame, name: str = "pieces") -> DataFrame:
-    """``pieces`` written to the shared folder with the number of the partition that wrote each (``part``) and its
-    number among that partition's pieces of the same length (``nth``). Only what one attempt of a task has
-    committed is read back, so the numbers hold whatever is computed again."""
-    schema = pieces.schema
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        part, seen = TaskContext.get().partitionId(), {}
-        for batch in batches:
-            nth = np.empty(batch.num_rows, np.int64)
-            for i, n in enumerate(batch.column("length").to_pylist()):
-                nth[i] = seen.get(n, 0)
-                seen[n] = nth[i] + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(nth), part, np.int32)), pa.array(nth)], names=[*batch.schema.names, "part", "nth"])
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    return written(pieces.mapInArrow(run, f"{fields}, part int, nth long"), name)
-
-
 def sequences(placed: DataFrame) -> DataFrame:
     """(sequence_id, ids): the packed ids of each sequence, from rows with ids. A sequence is bounded by the capacity."""
     parts = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"))
@@ -201,10 +209,13 @@ def sequences(placed: DataFrame) -> DataFrame:
 def packed(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """(doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset) of all documents."""
     path = vocabulary("word_bpe_49k.json", path)
-    return pack(numbered(token_pieces(docs, path, end_id, capacity)), capacity)
+    # Only what one attempt of a task has committed is read back, so the numbers hold whatever is computed again.
+    return pack(written(token_pieces(docs, path, end_id, capacity), "pieces"), capacity)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and where they lie, without their ids. Rows of a null doc_id, null texts and repeated
+    rows are packed like others; an empty table gives an empty one."""
     return packed(docs).drop("ids")
 
 
