@@ -195,7 +195,8 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
         done = number - runs["first"][k]
         return pd.DataFrame({"sequence_id": runs["sequence"][k] + done // runs["times"][k], "offset": runs["offset"][k] + done % runs["times"][k] * length})
 
-    placed = pieces.join(before, ["part", "length"]).withColumn("_at", place("length", F.col("before") + F.col("nth")))
+    # Hashed, not sorted: a cell is a row, and sorting both sides would take a task's memory for nothing.
+    placed = pieces.join(before.hint("shuffle_hash"), ["part", "length"]).withColumn("_at", place("length", F.col("before") + F.col("nth")))
     return placed.select(*[c for c in pieces.columns if c not in ("part", "nth")], "_at.sequence_id", "_at.offset")
 
 
