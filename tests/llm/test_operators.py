@@ -334,7 +334,7 @@ def test_passages(spark):
     rows = [(1, text(200) + shared + text(90)), (2, text(30) + shared + text(10)), (3, text(300)), (4, long), (5, text(20) + edited), (6, text(40)), (7, text(60) + shared[:45]), (8, text(500))]
     rows = [(i, " ".join(w)) for i, w in rows] + [(9, None), (10, ""), (None, " ".join(long)), (11, " ".join(long))]
     got = {r["doc_id"]: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {d: r["class_id"] for d, r in got.items()} == {1: 1, 2: 1, 4: 4, 5: 4, 11: 4}
+    assert {d: r["class_id"] for d, r in got.items()} == {1: 1, 2: 1, 4: 4, 5: 4, 11: 4, None: 4}
     assert got[1]["spans"] == "200:255" and got[2]["spans"] == "30:85" and got[11]["spans"] == "0:120" and got[5]["spans"] == "20:140"
 
 
@@ -376,6 +376,79 @@ def test_passages_whose_leader_holds_a_part(spark):
     assert got == {k + i: k + 1 for k in range(0, 60, 3) for i in (1, 2)}
 
 
+def test_rows_that_repeat_a_doc_id(spark):
+    text = texts_of(8, 60)
+    a, b, c = (b" ".join(text()).decode() for _ in range(3))
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c), (None, None), (4, " ".join(f"w{i}" for i in range(40_000)) + " " + b)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["spans"]) for r in got) == [(1, 1, "0:60"), (2, 1, "0:60"), (3, 3, "0:60"), (3, 3, "0:60"), (4, 1, "40000:40060")]
+
+
+def classes_of(links, ids):
+    root = {x: x for x in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return {x: find(x) for x in ids}
+
+
+def test_equal_passages_are_never_lost(spark):
+    """All texts hold a random part of their group's passage: what shares 50 words is one class, whoever leads."""
+    rng, text, rows = random.Random(4), texts_of(5, 70), []
+    for _ in range(40):
+        x = text()
+        for _ in range(rng.randint(3, 9)):
+            a = rng.randint(0, 35)
+            rows.append(text(rng.randint(5, 60)) + x[a : a + rng.randint(20, 70)] + text(rng.randint(5, 60)))
+    by = {}
+    for d, w in enumerate(rows):
+        for i in range(len(w) - 49):
+            by.setdefault(tuple(w[i : i + 50]), []).append(d)
+    links = [(ds[0], d) for ds in by.values() for d in ds[1:]]
+    linked = {d for link in links for d in link}
+    want = {d: c for d, c in classes_of(links, range(len(rows))).items() if d in linked}
+    df = spark.createDataFrame([(d, b" ".join(w).decode()) for d, w in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in passages.repeated_passages(df).collect()}
+    assert {d: r["class_id"] for d, r in got.items()} == want
+    for d, w in enumerate(rows):  # and their spans are all the stretches that another text has
+        covered = {j for i in range(len(w) - 49) if len(set(by[tuple(w[i : i + 50])])) > 1 for j in range(i, i + 50)}
+        spans = [tuple(map(int, s.split(":"))) for s in got[d]["spans"].split(",")] if d in got else []
+        assert {j for a, b in spans for j in range(a, b)} == covered
+
+
+def edited(rng, words, n):
+    for _ in range(n):
+        k = rng.randrange(5, len(words) - 5)
+        words = [words[:k] + [b"new%d" % rng.randrange(10**6)] + words[k + 1 :], words[:k] + [b"more%d" % rng.randrange(10**6)] + words[k:], words[:k] + words[k + 1 :]][rng.randrange(3)]
+    return words
+
+
+def test_edited_passages_behind_shorter_ones(spark):
+    """Two edited copies of a passage, and texts of smaller ids that hold parts too short to be passages."""
+    rng, text, rows, pairs = random.Random(6), texts_of(7, 60), [], []
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    while len(pairs) < 100:
+        x = text(rng.randint(60, 130))
+        two = edited(rng, x, len(x) // 60), edited(rng, x, rng.randint(0, 1))
+        if len(grams(two[0]) & grams(two[1])) < 0.8 * len(grams(two[0]) | grams(two[1])):
+            continue
+        for _ in range(rng.randint(0, 3)):
+            a = rng.randrange(len(x) - 30)
+            rows.append(text(40) + x[a : a + rng.randint(25, 48)] + text(40))
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [text(rng.randint(0, 40)) + w + text(rng.randint(0, 40)) for w in two]
+    df = spark.createDataFrame([(d, b" ".join(w).decode()) for d, w in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in passages.repeated_passages(df).collect()}
+    found = sum(got.get(a) is not None and got.get(a) == got.get(b) for a, b in pairs)
+    print("edited passages found:", found, "of", len(pairs))
+    assert found >= 95
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
