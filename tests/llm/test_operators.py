@@ -353,15 +353,20 @@ def test_a_replaced_word_leaves_a_signature(n):
         assert np.intersect1d(*(passages.signatures(z.words, 50, 0.8)[0] for z in (a, b))).size
 
 
+def context_at(text, k):
+    return text.contexts[[k]].view(np.int64).tolist()
+
+
 def test_passages_over_inserted_words_and_before_heavy_edits():
     text = texts_of(1, 70)
     for n in (70, 98):
         x = text(n)
         a, b = passages.Text(x, 50, 0.8), passages.Text([*x[: n // 2], b"other", *x[n // 2 :]], 50, 0.8)
-        assert passages.common_passages(a, b, [3], 0.8)[0] == [(0, n, 0, n + 1)]
+        assert passages.common_passages(a, b, context_at(a, 3), 0.8)[0] == [(0, n, 0, n + 1)]
     x = text(200)
     y = [b"other%d" % i if i == 45 or i > 90 and i % 7 == 0 else w for i, w in enumerate(x)]
-    ((s, e, _, _),), _ = passages.common_passages(passages.Text(x, 50, 0.8), passages.Text(y, 50, 0.8), [3], 0.8)
+    a, b = passages.Text(x, 50, 0.8), passages.Text(y, 50, 0.8)
+    ((s, e, _, _),), _ = passages.common_passages(a, b, context_at(a, 3), 0.8)
     assert s == 0 and e >= 91
 
 
