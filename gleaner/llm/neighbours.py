@@ -68,9 +68,16 @@ class CrossPolytope:
         return reduce(lambda a, h: a * self.axes + near[:, :, h], range(self.hashes), np.zeros(near.shape[:2], np.int64))
 
     def order(self, x: np.ndarray, most: int) -> np.ndarray:
-        """(rows, tables, probes): buckets from the nearest on, ``most`` at most."""
-        c = self.closeness(x)
+        """(rows, tables, probes): buckets from the nearest on, ``most`` at most. Memory is bounded by blocks of rows."""
         most = min(most, self.buckets)
+        # The i-th best of what there is so far and the j-th best axis can be among the ``most`` best together only if
+        # (i + 1) * (j + 1) is at most ``most``.
+        size = self.tables * (self.axes * self.hashes + 4 * most * (1 + int(np.log(most))))
+        block = max(1, (1 << 22) // size)
+        return np.concatenate([self._order(x[at : at + block], most) for at in range(0, len(x), block)]) if len(x) else np.zeros((0, self.tables, most), np.int64)
+
+    def _order(self, x: np.ndarray, most: int) -> np.ndarray:
+        c = self.closeness(x)
         per = min(self.axes, most)
         score = code = None
         for h in range(self.hashes):
@@ -78,11 +85,13 @@ class CrossPolytope:
             value = np.take_along_axis(c[:, :, h], axis, 2)
             if score is None:
                 score, code = value, axis.astype(np.int64)
-            else:
-                score = (score[..., :, None] + value[..., None, :]).reshape(*score.shape[:2], -1)
-                code = (code[..., :, None] * self.axes + axis[..., None, :]).reshape(*code.shape[:2], -1)
-            best = np.argsort(-score, axis=2, kind="stable")[:, :, :most]
-            score, code = np.take_along_axis(score, best, 2), np.take_along_axis(code, best, 2)
+                continue
+            pairs = [(i, j) for i in range(min(most, score.shape[2])) for j in range(min(per, most // (i + 1)))]
+            i, j = np.array(pairs).T
+            both = score[..., i] + value[..., j]
+            best = np.argsort(-both, axis=2, kind="stable")[:, :, :most]
+            score = np.take_along_axis(both, best, 2)
+            code = np.take_along_axis(code[..., i] * self.axes + axis[..., j], best, 2)
         return code
 
 
@@ -126,7 +135,11 @@ def _classes(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def measured_probes(classes: DataFrame, lsh: CrossPolytope, kind: str, k: int, recall: float, sample: int) -> int:
-    """The fewest probes a table by which the k nearest classes of the sampled queries are met with the given recall."""
+    """The fewest probes a table by which the k nearest classes of the sampled queries are met with the given recall.
+
+    The driver gets the buckets of k classes for each sampled query; workers hold the sampled queries and a batch. Probes
+    are doubled until they reach the recall, and only as many buckets are ever ranked.
+    """
     asked = classes.where("query").orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").collect()
     if not asked:
         return 1
@@ -134,22 +147,33 @@ def measured_probes(classes: DataFrame, lsh: CrossPolytope, kind: str, k: int, r
     q = _matrix([r[0] for r in asked], dim, kind)
 
     def run(batches):
-        place = np.empty((len(q), lsh.tables, lsh.buckets), np.int32)  # of each bucket in a query's order
-        np.put_along_axis(place, lsh.order(q, lsh.buckets), np.arange(lsh.buckets, dtype=np.int32)[None, None], 2)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 x = _matrix(batch.column("vec").slice(at, 4096).to_pylist(), dim, kind)
                 score, codes = q @ x.T, lsh.codes(x)
                 top = np.argsort(-score, axis=1)[:, : k + 1]
-                who = np.repeat(np.arange(len(q)), top.shape[1])
-                near = top.ravel()
-                rank = place[who[:, None], np.arange(lsh.tables)[None], codes[near]].min(1)
-                yield pa.RecordBatch.from_arrays([pa.array(who.astype(np.int32)), pa.array(score[who, near]), pa.array(rank.astype(np.int32))], names=["q", "score", "rank"])
+                who, near = np.repeat(np.arange(len(q), dtype=np.int32), top.shape[1]), top.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(score[who, near]), pa.array(codes[near].tolist(), pa.list_(pa.int64()))], names=["q", "score", "codes"])
 
-    found = classes.select("vec").mapInArrow(run, "q int, score double, rank int")
+    found = classes.select("vec").mapInArrow(run, "q int, score double, codes array<long>")
     nearest = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("n").between(2, k + 1))
-    ranks = sorted(r[0] for r in nearest.select("rank").collect())  # k for each sampled query
-    return 1 + ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)] if ranks else 1
+    rows = nearest.select("q", "codes").collect()  # k for each sampled query
+    if not rows:
+        return 1
+    of = np.array([r[0] for r in rows])
+    codes = np.array([r[1] for r in rows])
+    most = 1
+    while True:
+        rank = np.full(len(rows), lsh.buckets, np.int64)
+        for i in range(len(q)):
+            own = np.nonzero(of == i)[0]
+            hit = lsh.order(q[i : i + 1], most)[0][None, :, :] == codes[own][:, :, None]
+            place = np.where(hit.any(2), hit.argmax(2), lsh.buckets)
+            rank[own] = place.min(1)
+        least = int(np.sort(rank)[max(0, int(np.ceil(recall * len(rows))) - 1)])
+        if least < most or most >= lsh.buckets:
+            return min(least + 1, lsh.buckets)
+        most *= 2
 
 
 def _blocks(entries: DataFrame, sizes: DataFrame, own: str, other: str) -> DataFrame:
@@ -171,9 +195,9 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, tables: int = 8, hashes
     kind = "<f4" if df.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     vectors = written(_vectors(df, dim, every), "vectors")
     classes = checkpoint(_classes(vectors, k))
-    if hashes is None:  # about block_rows / 2 rows a bucket at most, if buckets are even
+    if hashes is None:  # about block_rows / 2 rows a bucket at most, if buckets are even, however many rows there are
         n, axes, hashes = classes.count(), 2 * (1 << max(0, dim - 1).bit_length()), 1
-        while n > axes**hashes * block_rows // 2 and hashes < 3:
+        while n > axes**hashes * block_rows // 2:
             hashes += 1
     lsh = CrossPolytope(dim, tables, hashes)
     m = probes or measured_probes(classes, lsh, kind, k, recall, sample)
@@ -231,7 +255,10 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, tables: int = 8, hashes
 
     by = ["bucket", "xb", "qb"]
     met = index.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(rerank, "key binary, score double, ids array<long>")
-    # At most tables * probes * blocks * (k + 1) entries a query.
+    # The k + 1 best classes of a query, from each block first and from all then; the same class met in several tables has
+    # the same rank, so that no more than tables * (k + 1) entries come together, however many blocks there are.
+    order = Window.partitionBy("key").orderBy(F.desc("score"), F.get("ids", F.lit(0)))
+    met = met.withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= k + 1)
     best = met.groupBy("key").agg(F.collect_set(F.struct((-F.col("score")).alias("s"), "ids")).alias("c"))
     each = F.flatten(F.transform("c", lambda c: F.transform(c["ids"], lambda i: F.struct(c["s"].alias("s"), i.alias("i")))))
     best = best.select("key", F.slice(F.array_sort(each), 1, k + 1).alias("c"))
