@@ -251,14 +251,16 @@ class SpanClassifier:
 CANDIDATES = "doc_id long, found array<struct<kind: string, start: int, end: int, base: boolean, votes: string, shape: int>>"
 
 
-def candidate_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, found): the candidates of each text with their votes."""
+def candidate_spans(docs: DataFrame, *kept: str) -> DataFrame:
+    """(doc_id, found): the candidates of each text with their votes; ``kept`` columns of documents stay beside them."""
 
     def run(rows):
         found = [[{"kind": k, "start": a, "end": b, "base": s, "votes": v, "shape": shape(k, a, b)} for k, a, b, s, v in candidates(x)] for x in rows["text"]]
-        return {"doc_id": rows["doc_id"], "found": found}
+        return {**{c: rows[c] for c in ("doc_id", *kept)}, "found": found}
 
-    return map_rows(taken(docs, "doc_id", "text"), run, CANDIDATES, char_col="text")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join([CANDIDATES, *[f"{c} {kinds[c]}" for c in kept]])
+    return map_rows(taken(docs, *dict.fromkeys(("doc_id", "text", *kept))), run, schema, char_col="text")
 
 
 def fit(found: DataFrame) -> SpanClassifier:
@@ -277,7 +279,7 @@ def reported(found: DataFrame, model: SpanClassifier, threshold: float = 0.5) ->
             out.append([{"kind": c["kind"], "start": c["start"], "end": c["end"], "base": c["base"], "score": p} for c, p in zip(cs, scores) if c["base"] or p >= threshold])
         return {"doc_id": rows["doc_id"], "spans": out}
 
-    return map_rows(found, run, "doc_id long, spans array<struct<kind: string, start: int, end: int, base: boolean, score: double>>")
+    return map_rows(found.select("doc_id", "found"), run, "doc_id long, spans array<struct<kind: string, start: int, end: int, base: boolean, score: double>>")
 
 
 def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -287,14 +289,14 @@ def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def redacted(docs: DataFrame, model: SpanClassifier, threshold: float = 0.5) -> DataFrame:
-    """Documents with each reported span replaced by its kind in brackets; overlapping spans are one. n_chars follows."""
+    """The columns of documents, of rows with ``found`` from candidate_spans(): each reported span is replaced by its kind
+    in brackets; overlapping spans are one. n_chars follows."""
 
     def run(rows):
         texts = []
-        for x in rows["text"]:
-            cs = candidates(x)
-            scores = model.scores([(k, v, shape(k, a, b)) for k, a, b, _, v in cs])
-            spans = sorted((a, b, k) for (k, a, b, s, _), p in zip(cs, scores) if s or p >= threshold)
+        for x, cs in zip(rows["text"], rows["found"]):
+            scores = model.scores([(c["kind"], c["votes"], c["shape"]) for c in cs])
+            spans = sorted((c["start"], c["end"], c["kind"]) for c, p in zip(cs, scores) if c["base"] or p >= threshold)
             merged: list[list] = []
             for a, b, k in spans:
                 if merged and a < merged[-1][1]:
@@ -305,14 +307,20 @@ def redacted(docs: DataFrame, model: SpanClassifier, threshold: float = 0.5) ->
             for a, b, k in merged:
                 parts += [x[at:a], f"[{k.upper()}]"]
                 at = b
-            texts.append(x if x is None or not merged else "".join(parts) + x[at:])
-        return {**rows, "text": texts, "n_chars": [len(t or "") for t in texts]}
+            texts.append(x if not merged else "".join(parts) + x[at:])
+        return {**{c: rows[c] for c in DOCUMENTS}, "text": texts, "n_chars": [len(t or "") for t in texts]}
 
-    return map_rows(taken(docs, *DOCUMENTS), run, "doc_id long, text string, lang string, source string, n_chars long", char_col="text")
+    # Only texts with candidates go through Python.
+    some = map_rows(docs.where(F.size("found") > 0), run, "doc_id long, text string, lang string, source string, n_chars long", char_col="text")
+    plain = docs.where(F.size("found") == 0).select("doc_id", "text", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    return some.unionByName(plain)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return redacted(docs, fit(candidate_spans(docs)))
+    """All documents, without their personal data. Candidates are found once and written beside the texts. A null text
+    stays null with 0 characters; null ids and repeated rows stay; an empty table gives an empty one."""
+    found = written(candidate_spans(docs, *[c for c in DOCUMENTS if c != "doc_id"]), "pii")
+    return redacted(found, fit(found))
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
@@ -327,4 +335,5 @@ def op2_pii(spark, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
     counts = map(count, BASE)
-    return spans.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")
+    return spans.select("doc_id", *counts, added, F.size("spans").cast("long").alias("n_spans"), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
