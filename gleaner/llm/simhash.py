@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
         fps = np.array([fingerprint(x, width, seed) for x in rows["text"]], np.uint64).view(np.int64)
         return {"doc_id": rows["doc_id"], "fp": fps}
 
-    return map_rows(taken(docs, "doc_id", "text"), run, "doc_id long, fp long")
+    return map_rows(taken(docs, "doc_id", "text"), run, "doc_id long, fp long", char_col="text")
 
 
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, tau: int = 2, width: int = 3, seed: int = 4
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one whose doc_id names it. Of repeated rows with that
+    """One document of each class stays (an empty text is one of a class, too; an empty table stays empty): the one whose doc_id names it. Of repeated rows with that
     doc_id the smallest (text, source, lang, n_chars) stays; rows of a null doc_id stay as they are."""
     docs = docs.select(*DOCUMENTS)
     named = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()

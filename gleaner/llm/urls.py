@@ -86,7 +86,7 @@ def judge(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hits: in
         return out
 
     schema = "page_id long, host string, path string, rule string, verdict string, strict_terms array<string>, soft_terms array<string>"
-    return map_rows(taken(pages, "page_id", "url"), run, schema, size=4096)
+    return map_rows(taken(pages, "page_id", "url"), run, schema, size=4096, char_col="url")
 
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
