@@ -24,6 +24,14 @@ def taken(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*names)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names behind as many underscores as keep them apart from every column of ``df``."""
+    have, under = {c.lower() for c in df.columns}, "_"
+    while any(under + n in have for n in names):
+        under += "_"
+    return [under + n for n in names]
+
+
 def word_count(text: Column) -> Column:
     """Words of a text (null: 0), as long."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

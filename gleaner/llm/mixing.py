@@ -20,8 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import DOCUMENTS, table, word_count
-from gleaner.sources.shared import checkpoint
+from gleaner.llm.common import DOCUMENTS, fresh, table, word_count
+from gleaner.sources.shared import checkpoint, written
 
 RESULTS = ("size", "source_size", "target", "copies", "taken")
 #: Slices of a size class; a hot class is dealt to so many tasks.
@@ -62,33 +62,33 @@ def _size_class(size: Column) -> Column:
     return F.when(size <= 0, F.lit(-1)).otherwise(F.floor(F.log2(size.cast("double")) * 16).cast("int"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 17) -> DataFrame:
-    """``docs`` with RESULTS added; ``copies`` is how often the mix takes the document. Reruns agree."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = 17, size: str | None = None) -> DataFrame:
+    """``docs`` with RESULTS added; ``copies`` is how often the mix takes the document. Reruns agree. ``size`` names a
+    column with the documents' sizes, which are else the words of ``text``."""
+    of_source, of_class, tie, part, n_rows, words, before, rank = fresh(docs, "source", "class", "tie", "slice", "rows", "words", "before", "rank")
     rest = [c for c in docs.columns if c.lower() not in RESULTS]
-    sized = docs.select(
-        *rest,
-        word_count(F.col("text")).alias("size"),
-    )
+    sized = docs.select(*rest, (F.col(size).cast("long") if size else word_count(F.col("text"))).alias("size"))
+    ties = ("doc_id", "size") if size else ("text",)
     keyed = sized.select(
         "*",
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")).alias("_source"),
-        _size_class(F.col("size")).alias("_class"),
-        F.xxhash64("text").alias("_tie"),
-        F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(SLICES)).cast("int").alias("_slice"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")).alias(of_source),
+        _size_class(F.col("size")).alias(of_class),
+        F.xxhash64(*ties).alias(tie),
+        F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(SLICES)).cast("int").alias(part),
     )
-    cell = ["_source", "_class", "_slice"]
-    counted = keyed.groupBy(*cell).agg(F.first("source").alias("source"), F.count("*").alias("_rows"), F.sum("size").alias("_words"))
+    cell = [of_source, of_class, part]
+    counted = keyed.groupBy(*cell).agg(F.first("source").alias("source"), F.count("*").alias(n_rows), F.sum("size").alias(words))
     cells = checkpoint(counted)
-    sums = cells.groupBy("_source").agg(F.first("source").alias("source"), F.sum("_words").alias("source_size"))
-    by_source = targets(sums, weights, most).select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")).alias("_source"), "source_size", "target")
+    sums = cells.groupBy(of_source).agg(F.first("source").alias("source"), F.sum(words).alias("source_size"))
+    by_source = targets(sums, weights, most).select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")).alias(of_source), "source_size", "target")
     # A source has a bounded number of cells: size classes times slices.
-    order = Window.partitionBy("_source").orderBy("_class", "_slice").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cells.select(*cell, F.coalesce(F.sum("_rows").over(order), F.lit(0)).alias("_before")).join(by_source, "_source")
-    inside = Window.partitionBy(*cell).orderBy("size", "doc_id", "_tie")
-    joined = keyed.withColumn("_rank", F.row_number().over(inside)).join(placed, cell)
+    order = Window.partitionBy(of_source).orderBy(of_class, part).rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.select(*cell, F.coalesce(F.sum(n_rows).over(order), F.lit(0)).alias(before)).join(by_source, of_source)
+    inside = Window.partitionBy(*cell).orderBy("size", "doc_id", tie)
+    joined = keyed.withColumn(rank, F.row_number().over(inside)).join(placed, cell)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = F.pmod(F.xxhash64("_source", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    at = F.col("_before") + F.col("_rank")
+    offset = F.pmod(F.xxhash64(of_source, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    at = F.col(before) + F.col(rank)
     copies = F.floor(rate * at + offset) - F.floor(rate * (at - 1) + offset)
     return joined.select(
         *rest,
@@ -100,11 +100,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: flo
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it. Documents without words are not taken; null ids and sources and
+    repeated rows are rows like others; an empty table gives an empty one."""
     mixed = mix(docs.select(*DOCUMENTS)).where("copies > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*DOCUMENTS)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    """Words are counted once: the sizes are a table that the mix reads instead of the texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("n"))
+    return mix(written(docs, "sizes"), size="n").select("doc_id", "size", "source_size", "target", "taken")

@@ -17,7 +17,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import DOCUMENTS, SPACES, WORD, table
+from gleaner.llm.common import DOCUMENTS, SPACES, WORD, fresh, table
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases of notices, menus and consent banners; matched in lower case.
@@ -73,7 +73,8 @@ def repeated_words(words: Column) -> Column:
         return F.sort_array(F.transform(again, lambda x: x["i"]))
 
     def places(h: Column) -> Column:
-        # A few repeated windows are looked up one by one; for many, windows are sorted with their places.
+        # A few repeated windows are looked up one by one; for many, windows are sorted with their places. Both ways
+        # give the same places.
         twice = _let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, k: x == F.get(s, k + 1))))
         few = lambda d: F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(d, x), i)), lambda i: i.isNotNull())
         return _let(twice, lambda d: F.when(F.size(d) <= 24, few(d)).otherwise(sorted_places(h)))
@@ -93,6 +94,7 @@ def quality(docs: DataFrame, text_col: str = "text", max_lost: float = 0.5, min_
     words lie in three-word windows that the text repeats) or where ``lost`` is over ``max_lost``.
     """
     rest = [c for c in docs.columns if c.lower() not in RESULTS]
+    t, of_words, of_lines = fresh(docs, "t", "w", "l")
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def counts(w: Column) -> Column:
@@ -102,8 +104,8 @@ def quality(docs: DataFrame, text_col: str = "text", max_lost: float = 0.5, min_
             repeated_words(w).cast("long").alias("n_repeat_words"),
         )
 
-    phrases = _let(F.lower("_t"), lambda low: reduce(or_, [F.contains(low, F.lit(x)) for x in STEMS]))
-    symbols = F.regexp_count("_t", F.lit(f"[{SYMBOLS}]")).cast("long")
+    phrases = _let(F.lower(t), lambda low: reduce(or_, [F.contains(low, F.lit(x)) for x in STEMS]))
+    symbols = F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long")
 
     def lines(v: Column) -> Column:
         full = F.filter(v["lines"], lambda s: s.rlike(WORD))
@@ -115,20 +117,22 @@ def quality(docs: DataFrame, text_col: str = "text", max_lost: float = 0.5, min_
             _let(bad, lambda x: F.when(F.size(x) == 0, F.lit(None)).otherwise(F.array_join(good, "\n"))).alias("cleaned"),
         )
 
-    line_input = F.struct(F.split("_t", "\n", -1).alias("lines"), symbols.alias("symbols"), F.contains("_t", F.lit("!!")).alias("shouts"), phrases.alias("phrases"))
-    word_counts = _let(F.filter(F.split("_t", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""), counts)
+    line_input = F.struct(F.split(t, "\n", -1).alias("lines"), symbols.alias("symbols"), F.contains(F.col(t), F.lit("!!")).alias("shouts"), phrases.alias("phrases"))
+    word_counts = _let(F.filter(F.split(t, r"[\x20\x09-\x0D]+", -1), lambda w: w != ""), counts)
     # A generator of one row: what it gives is computed once, whatever is filtered or selected from it.
-    once = F.inline(F.array(F.struct(word_counts.alias("_w"), _let(line_input, lines).alias("_l"))))
-    df = docs.select(*rest, text.alias("_t")).select(*rest, "_t", once)
-    left = F.length(_without(F.col("_l.cleaned"), SPACES))  # null, so nothing is lost, where no line was removed
-    lost = F.when(F.col("_w.word_chars") > 0, F.coalesce(1.0 - left / F.col("_w.word_chars"), F.lit(0.0))).otherwise(0.0)
+    once = F.inline(F.array(F.struct(word_counts.alias(of_words), _let(line_input, lines).alias(of_lines))))
+    df = docs.select(*rest, text.alias(t)).select(*rest, t, once)
+    left = F.length(_without(F.col(f"{of_lines}.cleaned"), SPACES))  # null, so nothing is lost, where no line was removed
+    chars = F.col(f"{of_words}.word_chars")
+    lost = F.when(chars > 0, F.coalesce(1.0 - left / chars, F.lit(0.0))).otherwise(0.0)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    df = df.select(*rest, "_w.*", "_l.n_symbols", "_l.n_dup_lines", F.coalesce("_l.cleaned", "_t").alias("cleaned"), lost.alias("lost"))
+    df = df.select(*rest, f"{of_words}.*", f"{of_lines}.n_symbols", f"{of_lines}.n_dup_lines", F.coalesce(f"{of_lines}.cleaned", t).alias("cleaned"), lost.alias("lost"))
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("lost") <= max_lost)).select(*rest, *RESULTS)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Kept documents with their failing lines removed; n_chars follows the text."""
+    """Kept documents with their failing lines removed; n_chars follows the text. Null and short texts are rejected, null
+    ids and repeated rows are judged like others, an empty table gives an empty one."""
     judged = quality(docs.select(*DOCUMENTS))
     return judged.where("kept").withColumn("text", F.col("cleaned")).withColumn("n_chars", F.length("cleaned").cast("long")).select(*DOCUMENTS)
 

@@ -10,9 +10,10 @@ an empty table gives an empty table; other columns, html too, are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.common import map_rows, table, taken
 
@@ -33,14 +34,49 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return rest[:end].translate(_LOWER), rest[end:stop]
 
 
+class Rules:
+    """Rules by host name, and by path below it: a url is looked up by its host's suffixes, however many rules there are."""
+
+    def __init__(self, rules: Iterable[tuple[str, str]]):
+        self.paths: dict[str, dict[str, tuple[str, str]]] = {}
+        for verdict, rule in rules:
+            name, slash, rest = rule.partition("/")
+            known = self.paths.setdefault(name, {})
+            known[slash + rest] = min(known.get(slash + rest, (verdict, rule)), (verdict, rule))
+        self.lengths = {name: sorted({len(p) for p in paths}, reverse=True) for name, paths in self.paths.items()}
+
+    def best(self, host: str, path: str) -> tuple[str, str] | None:
+        """(verdict, rule) of the longest rule that fits; of equally long ones the first in code-point order."""
+        fits, at = [], 0
+        while True:
+            name = host[at:]
+            for n in self.lengths.get(name, ()):
+                found = self.paths[name].get(path[:n]) if n <= len(path) else None
+                if found:
+                    fits.append((-len(found[1]), found[1], found[0]))
+                    break
+            at = host.find(".", at) + 1
+            if not at:
+                return min(fits)[:0:-1] if fits else None
+
+
+@lru_cache(maxsize=4)
+def _indexed(rules: tuple[tuple[str, str], ...]) -> Rules:
+    return Rules(rules)
+
+
 def rule_of(host: str, path: str, rules=RULES) -> tuple[str, str] | None:
-    """(verdict, rule) of the longest rule that fits; of equally long ones the first in code-point order."""
-    fits = []
-    for verdict, rule in rules:
-        name, slash, rest = rule.partition("/")
-        if (host == name or host.endswith("." + name)) and path.startswith(slash + rest):
-            fits.append((-len(rule), rule, verdict))
-    return min(fits)[:0:-1] if fits else None
+    return _indexed(tuple(rules)).best(host, path)
+
+
+def listed(spark: SparkSession, path: str, columns: tuple[str, ...], most: int = 1_000_000) -> tuple:
+    """The rows of a Parquet table of rules (verdict, rule) or of a text file of terms (value), which every worker holds;
+    ValueError for more than ``most``."""
+    reader = spark.read.text(path) if columns == ("value",) else spark.read.parquet(path)
+    rows = reader.select(*columns).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows in {path}")
+    return tuple(r[0].strip() for r in rows if r[0] and r[0].strip()) if len(columns) == 1 else tuple(tuple(r) for r in rows)
 
 
 @lru_cache(maxsize=4)
@@ -71,7 +107,9 @@ def hits(url: str | None, strict=STRICT, soft=SOFT) -> tuple[list[str], list[str
 
 
 def judge(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hits: int = 2) -> DataFrame:
-    """(page_id, host, path, rule, verdict, strict_terms, soft_terms)."""
+    """(page_id, host, path, rule, verdict, strict_terms, soft_terms). Rules and terms may be lists of any length, as
+    listed() reads them."""
+    rules, strict, soft = tuple(rules), tuple(strict), tuple(soft)
     names = ("page_id", "host", "path", "rule", "verdict", "strict_terms", "soft_terms")
 
     def run(rows):

@@ -24,7 +24,7 @@ ODD = [
 def odd(spark):
     """Odd rows, and extra columns that clash with what operators compute."""
     df = spark.createDataFrame(ODD, SCHEMA)
-    return df.selectExpr("*", "1 as size", "2 as kept", "'x' as fp", "0 as n_words", "0 as length", "0 as part", "'y' as cleaned", "0 as copies")
+    return df.selectExpr("*", "1 as size", "2 as kept", "'x' as fp", "0 as n_words", "0 as length", "0 as part", "'y' as cleaned", "0 as copies", "1 as _t", "2 as _w", "3 as _source", "4 as _rank", "5 as __t", "6 as `row`", "7 as key")
 
 
 @pytest.fixture(scope="module")
@@ -264,6 +264,83 @@ def test_urls():
     assert urls.hits("http://xxx.com/casinos/free-bet") == (["xxx"], ["bet", "free"])
 
 
+def test_many_rules_and_listed_terms(spark, tmp_path):
+    rng = random.Random(1)
+    hosts = [f"h{i}.example" for i in range(300)] + ["example", "a.h7.example"]
+    rules = sorted({(rng.choice(["allow", "block"]), f"{rng.choice(hosts)}/{'/'.join(rng.choice('abc') for _ in range(rng.randint(0, 9)))}") for _ in range(100_000)})
+    index = urls.Rules(rules)
+    for _ in range(40):
+        host, path = rng.choice(["", "www.", "x.y."]) + rng.choice(hosts), "/" + "/".join(rng.choice("abc") for _ in range(rng.randint(0, 12)))
+        fits = [(-len(r), r, v) for v, r in rules if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        assert index.best(host, path) == (min(fits)[:0:-1] if fits else None)
+    spark.createDataFrame([("block", "bad.org/x"), ("allow", "org/")], "verdict string, rule string").write.parquet(str(tmp_path / "rules"))
+    (tmp_path / "terms.txt").write_text("gamble\n\n spam \n")
+    found, terms = urls.listed(spark, str(tmp_path / "rules"), ("verdict", "rule")), urls.listed(spark, str(tmp_path / "terms.txt"), ("value",))
+    assert set(found) == {("block", "bad.org/x"), ("allow", "org/")} and terms == ("gamble", "spam")
+    pages = spark.createDataFrame([(1, "http://bad.org/x1"), (2, "http://ok.org/spam"), (3, "http://c.fr/spam"), (4, "http://c.fr/")], "page_id long, url string")
+    assert [r["verdict"] for r in urls.judge(pages, found, terms).orderBy("page_id").collect()] == ["block", "allow", "block", "allow"]
+    with pytest.raises(ValueError):
+        urls.listed(spark, str(tmp_path / "terms.txt"), ("value",), most=1)
+
+
+def test_mixing_is_a_walk_over_prefix_sums(docs):
+    """The copies of each source against a plain walk in the stated order."""
+    by = {}
+    for r in mixing.mix(docs.select("doc_id", "text", "source")).collect():
+        by.setdefault(r["source"], []).append(r)
+    first = {}
+    for source, rows in by.items():
+        rate = rows[0]["target"] / rows[0]["source_size"] if rows[0]["source_size"] else 0
+        total = sum(r["copies"] for r in rows)
+        n = sum(r["size"] > 0 for r in rows)
+        assert abs(total - rate * len(rows)) <= 1 + 3 * (len(rows) - n) and all(int(rate) <= r["copies"] <= int(rate) + 1 for r in rows if r["size"])
+        sizes = sorted(r["size"] for r in rows)
+        for q in (0.25, 0.5, 0.75):  # every prefix in order of size gets its share
+            upto = [r for r in rows if r["size"] <= sizes[int(q * len(sizes))]]
+            words = sum(r["size"] for r in upto)
+            assert abs(sum(r["taken"] for r in upto) - rate * words) <= 0.1 * rate * words + 2 * max(r["size"] for r in upto)
+        first[source] = total
+    again = mixing.mix(docs.select("doc_id", "text", "source").repartition(3, "text")).collect()
+    assert first == {s: sum(r["copies"] for r in again if r["source"] == s) for s in by}
+
+
+def test_pipeline_stages_on_odd_rows(odd, empty, spark):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
+        got = stage(spark, odd, "")
+        if name != "best_fit_packing":
+            assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        n = got.count()
+        assert n == {"quality_rules": 0, "simhash_near_dedup": 5, "pii": len(ODD)}.get(name, n)
+        if name == "mixing":
+            assert all(r["text"] for r in got.collect())
+        if name == "best_fit_packing":
+            assert sum(r["piece"] == 0 for r in got.collect()) == len(ODD)
+
+
+def test_odd_rows_of_vectors_pages_and_passages(odd, spark):
+    assert passages.repeated_passages(odd).count() == 0
+    pages = spark.createDataFrame([(1, "http://a.fr/xxx", "h", 1)], "page_id long, url string, host string, verdict int")
+    assert [tuple(r)[:5] for r in urls.judge(pages).collect()] == [(1, "a.fr", "/xxx", None, "block")]
+    rows = spark.createDataFrame([(i, [float(i), 1.0], "x", 1.0) for i in range(5)], "vec_id long, embedding array<double>, key string, score double")
+    assert [r["vec_id"] for r in neighbours.nearest(rows, k=2).orderBy("rank").collect()] == [1, 2]  # all at 1: ties go to smaller ids
+
+
+def test_probes_of_several_hashes(spark):
+    lsh = neighbours.CrossPolytope(20, tables=3, hashes=2, seed=1)
+    x = np.random.default_rng(5).normal(size=(6, 20))
+    c = lsh.closeness(x)
+    for r in range(6):
+        for t in range(3):
+            both = c[r, t, 0][:, None] + c[r, t, 1][None, :]
+            got = lsh.order(x, 50)[r, t]
+            assert len(set(got.tolist())) == 50
+            assert np.allclose(both.ravel()[got], np.sort(both.ravel())[::-1][:50])
+    assert neighbours.CrossPolytope(64, tables=8, hashes=4).order(np.ones((40, 64)), 300).shape == (40, 8, 300)
+
+
 def test_url_verdicts(spark):
     rows = [(1, "http://a.fr/poker/bonus"), (2, "http://a.fr/poker/poker"), (3, None), (None, "http://a.fr/xxx"), (5, "http://b.com/en/1")]
     got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
