@@ -62,6 +62,7 @@ class Scratch:
 
     def remove(self) -> None:
         # The adaptive plan may leave stages behind that a result turned out not to need; they still read.
+        time.sleep(0.2)
         for _ in range(20):
             if not self.spark.sparkContext.statusTracker().getActiveStageIds():
                 break
