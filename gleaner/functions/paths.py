@@ -20,3 +20,14 @@ def extension(path: Column, none: str = "<no extension>") -> Column:
 
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
+
+
+def trimmed(path: Column, char: str = "/") -> Column:
+    """Without ``char`` at either end."""
+    return F.regexp_replace(path, rf"^\Q{char}\E+|\Q{char}\E+$", "")
+
+
+def relative(path: Column, prefix: str) -> Column:
+    """Without ``prefix`` in front, if it is there, and without slashes after it."""
+    cut = F.when(F.startswith(path, F.lit(prefix)), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path) if prefix else path
+    return F.regexp_replace(cut, "^/+", "")

@@ -88,24 +88,79 @@ def rule_score(same_verb: Column, difference: Column) -> Column:
     return F.greatest(F.lit(0.0), F.when(same_verb, 0.95).otherwise(0.79) - F.least(F.lit(0.14), F.abs(difference) * 0.002))
 
 
+# What the product says of a neighbour.
+OTHER_STYLE = "Same annotation, different execution style"
+SIMILAR_MOTION = "Visually similar motion pattern"
+SAME_FAMILY = "Same action family with a related motion signature"
+
+
+def stated_neighbours(selected: DataFrame, segs: DataFrame) -> DataFrame:
+    """(sid, id, similarity, explanation, place): each stated neighbour that is a segment of another video, as often as it
+    is stated; of segments with equal ids the last counts."""
+    by_id = segs.groupBy("id").agg(F.max_by(F.struct("video_id", "verb"), "pos").alias("n"))
+    each = selected.select(F.col("id").alias("sid"), F.col("video_id").alias("svideo"), F.col("verb").alias("sverb"), F.posexplode("neighbors").alias("place", "stated"))
+    met = each.withColumn("id", F.col("stated.segment_id")).join(by_id, "id").where("n.video_id <> svideo")
+    told = F.coalesce(F.nullif("stated.explanation", F.lit("")), F.when(F.col("n.verb") == F.col("sverb"), OTHER_STYLE).otherwise(SIMILAR_MOTION))
+    return met.select("sid", "id", F.col("stated.similarity").alias("similarity"), told.alias("explanation"), F.col("place").cast("long").alias("place"))
+
+
+def _candidates(selected: DataFrame, segs: DataFrame, most: int) -> DataFrame:
+    """(sid, id, nth, same_verb, same_cluster, difference): the first ``most`` segments of other videos that are not stated
+    for each selected one, by same verb, other cluster, nearest percentile and place. Blocks of selected rows meet blocks
+    of segments; each pair of blocks gives the first of its own only."""
+    n = segs.count()
+    parts = max(1, -(-n // BLOCK))
+
+    def packed(rows, name, *more):
+        values = F.collect_list(F.struct("id", "video_id", "verb", "cluster", F.col("distinctiveness_percentile").alias("pct"), "pos", *more))
+        return rows.groupBy(F.pmod(F.xxhash64("pos"), F.lit(parts)).alias(name)).agg(values.alias(f"{name}_rows"))
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for q, x in zip(batch.column("q_rows"), batch.column("x_rows")):
+                q, x = (pd.DataFrame(c.as_py()) for c in (q, x))
+                code = {c: pd.factorize(pd.concat([q[c], x[c]], ignore_index=True))[0] for c in ("id", "video_id", "verb", "cluster")}
+                mine, other = {c: v[: len(q)] for c, v in code.items()}, {c: v[len(q) :] for c, v in code.items()}
+                pos, pct = x["pos"].to_numpy(), x["pct"].to_numpy(float)
+                out = {c: [] for c in ("sid", "id", "pos", "same_verb", "same_cluster", "difference")}
+                for i, (sid, named, p) in enumerate(zip(q["id"], q["named"], q["pct"].to_numpy(float))):
+                    ok = (other["id"] != mine["id"][i]) & (other["video_id"] != mine["video_id"][i])
+                    if len(named):
+                        ok &= ~x["id"].isin(set(named)).to_numpy()
+                    at = np.nonzero(ok)[0]
+                    verb, cluster = other["verb"][at] == mine["verb"][i], other["cluster"][at] == mine["cluster"][i]
+                    apart = np.abs(pct[at] - p)
+                    first = np.lexsort((pos[at], apart, cluster, ~verb))[:most]
+                    for name, v in zip(out, ([sid] * len(first), x["id"].to_numpy()[at[first]], pos[at[first]], verb[first], cluster[first], apart[first])):
+                        out[name].extend(v)
+                yield pa.RecordBatch.from_arrays([pa.array(out["sid"], pa.string()), pa.array(out["id"], pa.string()), pa.array(out["pos"], pa.int64()), pa.array(out["same_verb"], pa.bool_()), pa.array(out["same_cluster"], pa.bool_()), pa.array(out["difference"], pa.float64())], names=list(out))
+
+    asked = packed(selected, "q", F.transform("neighbors", lambda n: n["segment_id"]).alias("named"))
+    schema = "sid string, id string, pos long, same_verb boolean, same_cluster boolean, difference double"
+    met = asked.crossJoin(packed(segs, "x")).mapInArrow(run, schema)
+    order = Window.partitionBy("sid").orderBy(~F.col("same_verb"), F.col("same_cluster"), "difference", "pos")
+    return met.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("pos")
+
+
 def similar_segments(selected: DataFrame, segs: DataFrame, limit: int = 5) -> DataFrame:
-    """(segment_id, neighbour_id, similarity, source, rank): stated neighbours first, filled up to ``limit`` by
-    candidates of other videos: same verb first, then another cluster, then the nearest percentile, then input order;
-    the result is ordered by similarity. ``selected`` is a handful of rows, as in a detail view."""
-    chosen = F.broadcast(selected.select(F.col("id").alias("sid"), F.col("video_id").alias("svideo"), F.col("verb").alias("sverb"), F.col("cluster").alias("scluster"), F.col("distinctiveness_percentile").alias("spct"), F.col("neighbors").alias("stated")))
-    by_id = segs.groupBy("id").agg(F.max_by("video_id", "pos").alias("video_id"))  # the last of equal ids
-    stated = chosen.select("sid", "svideo", F.posexplode("stated").alias("place", "n")).select("sid", "svideo", "place", F.col("n.segment_id").alias("id"), F.col("n.similarity").alias("similarity"))
-    stated = stated.join(by_id, "id").where("video_id <> svideo").select("sid", "id", "similarity", F.lit(0).alias("source"), F.col("place").cast("long").alias("place"))
-    seen = stated.select("sid", "id").distinct()
-    others = segs.join(chosen.drop("stated"), (F.col("id") != F.col("sid")) & (F.col("video_id") != F.col("svideo"))).join(seen, ["sid", "id"], "left_anti")
-    order = Window.partitionBy("sid").orderBy(F.col("verb") != F.col("sverb"), F.col("cluster") == F.col("scluster"), F.abs(F.col("distinctiveness_percentile") - F.col("spct")), "pos")
-    near = others.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
-    have = seen.groupBy("sid").agg(F.count("*").alias("have"))
-    fill = near.join(F.broadcast(have), "sid", "left").where(F.col("nth") + F.coalesce("have", F.lit(0)) <= limit)
-    fill = fill.select("sid", "id", rule_score(F.col("verb") == F.col("sverb"), F.col("distinctiveness_percentile") - F.col("spct")).alias("similarity"), F.lit(1).alias("source"), F.col("nth").cast("long").alias("place"))
-    last = Window.partitionBy("sid").orderBy(F.desc("similarity"), "source", "place")
-    out = stated.unionByName(fill).withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= limit)
-    return out.select(F.col("sid").alias("segment_id"), F.col("id").alias("neighbour_id"), "similarity", F.when(F.col("source") == 0, "stated").otherwise("rule").alias("source"), "rank")
+    """(segment_id, neighbour_id, similarity, explanation, source, rank): stated neighbours first, filled up to ``limit`` rows
+    by candidates of other videos: same verb first, then another cluster, then the nearest percentile, then input order;
+    the result is ordered by similarity. Neighbours stated twice count twice."""
+    stated = stated_neighbours(selected, segs)
+    kept = stated.groupBy("sid").agg(F.collect_set("id").alias("met"), F.count("*").alias("have"))
+    # Stated ids that are no segment of another video stay candidates.
+    named = selected.drop("neighbors").join(kept.select(F.col("sid").alias("id"), "met"), "id", "left")
+    named = named.withColumn("neighbors", F.transform(F.coalesce("met", F.array().cast("array<string>")), lambda i: F.struct(i.alias("segment_id"))))
+    near = _candidates(named, segs, limit).join(kept.select("sid", "have"), "sid", "left")
+    near = near.where(F.col("nth") + F.coalesce("have", F.lit(0)) <= limit)
+    told = F.when(F.col("same_verb") & ~F.col("same_cluster"), OTHER_STYLE).otherwise(SAME_FAMILY)
+    fill = near.select("sid", "id", rule_score(F.col("same_verb"), F.col("difference")).alias("similarity"), told.alias("explanation"), F.col("nth").cast("long").alias("place"), F.lit("rule").alias("source"))
+    both = stated.withColumn("source", F.lit("stated")).unionByName(fill)
+    last = Window.partitionBy("sid").orderBy(F.desc("similarity"), F.desc("source"), "place")
+    out = both.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= limit)
+    return out.select(F.col("sid").alias("segment_id"), F.col("id").alias("neighbour_id"), "similarity", "explanation", "source", "rank")
 
 
 def gramians(rows: DataFrame, dim: int) -> DataFrame:
@@ -135,47 +190,93 @@ def vendi_order_two(rows: DataFrame, dim: int) -> DataFrame:
     return g.groupBy("grp").agg(F.max("n").alias("n"), F.sum(F.col("value") * F.col("value")).alias("s")).select("grp", "n", (F.col("n") * F.col("n") / F.col("s")).alias("vendi"))
 
 
-def _matrices(rows: DataFrame, dim: int, most: int) -> dict[int, tuple[int, np.ndarray]]:
-    """The Gramian of each group; ValueError for more than ``most`` groups, which bounds what the driver gets."""
-    g = gramians(rows, dim)
-    groups = g.select("grp").distinct().limit(most + 1).count()
-    if groups > most:
-        raise ValueError(f"more than {most} groups")
-    out: dict[int, tuple[int, np.ndarray]] = {}
-    for grp, k, n, value in g.select("grp", "k", "n", "value").collect():
-        out.setdefault(grp, (n, np.zeros(dim * dim)))[1][k] = value
-    return {grp: (n, m.reshape(dim, dim)) for grp, (n, m) in out.items()}
+def _matrix_of(rows) -> tuple[int, np.ndarray]:
+    """A group's number of rows and its Gramian, from (n, k, value)."""
+    m = np.zeros(int(len(rows) ** 0.5) ** 2)
+    m[rows["k"].to_numpy()] = rows["value"].to_numpy()
+    return int(rows["n"].iloc[0]), m.reshape(int(len(m) ** 0.5), -1)
 
 
-def contributions(rows: DataFrame, dim: int, most: int = 256) -> DataFrame:
-    """(grp, id, contribution): by how much a group's order-two score falls without the row (id, grp, v)."""
-    known = _matrices(rows, dim, most)
+def contributions(rows: DataFrame, dim: int) -> DataFrame:
+    """(grp, id, contribution): by how much a group's order-two score falls without the row (id, grp, v). Every group is
+    solved where its matrix is, which is one row of dim * dim numbers; rows meet it by a join, however many groups there are."""
+    g = gramians(rows, dim)
+    flat = g.groupBy("grp").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda e: e["value"]).alias("m"))
+    # Rows are dealt out in parts, so that a hot group is not one task.
+    parts = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // 20_000))
+    salted = rows.select("grp", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("salt"), "id", "v")
+    some = salted.select(F.col("grp").alias("of_grp"), F.col("salt").alias("of_salt")).distinct()
+    some = some.join(flat.withColumnRenamed("grp", "of_grp"), "of_grp")
 
-    def run(batches):
-        for batch in batches:
-            groups = batch.column("grp").to_numpy(zero_copy_only=False)
-            x = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(float) if batch.num_rows else np.zeros((0, dim))
-            out = np.zeros(len(x))
-            for g in np.unique(groups):
-                n, m = known[g]
-                own = x[groups == g]
-                s, r, k = (m * m).sum(), np.einsum("ij,jk,ik->i", own, m, own), (own * own).sum(1)
-                rest = s - 2 * r + k * k
-                out[groups == g] = n * n / s - np.divide((n - 1) ** 2, rest, out=np.zeros(len(own)), where=(n > 1) & (rest > 1e-12))
-            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("id"), pa.array(out)], names=["grp", "id", "contribution"])
+    def solve(own, matrix):
+        import pandas as pd
+
+        if not len(own):
+            return pd.DataFrame({"grp": [], "id": [], "contribution": []})
+        n, m = int(matrix["n"].iloc[0]), np.array(matrix["m"].iloc[0], float).reshape(dim, dim)
+        x = np.stack(own["v"].to_numpy()).astype(float)
+        s, r, k = (m * m).sum(), np.einsum("ij,jk,ik->i", x, m, x), (x * x).sum(1)
+        rest = s - 2 * r + k * k
+        without = np.divide((n - 1) ** 2, rest, out=np.zeros(len(x)), where=(n > 1) & (rest > 1e-12))
+        return pd.DataFrame({"grp": own["grp"], "id": own["id"], "contribution": n * n / s - without})
 
-    return rows.select("grp", "id", "v").mapInArrow(run, "grp long, id long, contribution double")
+    return salted.groupBy("grp", "salt").cogroup(some.groupBy("of_grp", "of_salt")).applyInPandas(solve, "grp long, id long, contribution double")
 
 
-def vendi_exact(rows: DataFrame, dim: int, most: int = 256) -> DataFrame:
+def vendi_exact(rows: DataFrame, dim: int) -> DataFrame:
     """(grp, n, vendi, logdet): the exponential of the entropy of the kernel's eigenvalues, from the Gramian, which has the same
-    non-zero ones; logdet is of the identity plus the Gramian over n."""
-    out = []
-    for grp, (n, m) in sorted(_matrices(rows, dim, most).items()):
+    non-zero ones; logdet is of the identity plus the Gramian over n. One group's matrix is solved in one place."""
+
+    def solve(own):
+        import pandas as pd
+
+        n, m = _matrix_of(own)
         lam = np.clip(np.linalg.eigvalsh(m / n), 0, None)
         lam = lam[lam > 1e-15]
-        out.append((int(grp), int(n), float(np.exp(-(lam * np.log(lam)).sum())), float(np.linalg.slogdet(np.eye(dim) + m / n)[1])))
-    return rows.sparkSession.createDataFrame(out, "grp long, n long, vendi double, logdet double")
+        return pd.DataFrame({"grp": [int(own["grp"].iloc[0])], "n": [n], "vendi": [float(np.exp(-(lam * np.log(lam)).sum()))], "logdet": [float(np.linalg.slogdet(np.eye(dim) + m / n)[1])]})
+
+    return gramians(rows, dim).groupBy("grp").applyInPandas(solve, "grp long, n long, vendi double, logdet double")
+
+
+def weighted_vendi(scores: DataFrame) -> DataFrame:
+    """(n, vendi): the mean of the groups' scores (grp, n, vendi), weighted by their sizes."""
+    return scores.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("vendi")) / F.sum("n")).alias("vendi"))
+
+
+def greedy(rows: DataFrame, share: float, dim: int, most: int = 20_000) -> DataFrame:
+    """(id, step, vendi, total): rows (id, v, hours) in the order in which they raise the order-two score of what is chosen
+    the most, ties to smaller ids, while the hours stay within ``share`` of all. A row that does not fit is passed over.
+
+    Each step depends on all before it, so the vectors come together in one place: at most ``most`` of them, else
+    ValueError. Choose representatives first where there are more.
+    """
+    n = rows.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows; choose representatives first")
+
+    def solve(own):
+        import pandas as pd
+
+        own = own.sort_values("id").reset_index(drop=True)
+        x, hours = np.stack(own["v"].to_numpy()).astype(float), own["hours"].to_numpy(float)
+        left, total, budget = np.ones(len(x), bool), 0.0, share * hours.sum()
+        m, s, out, square = np.zeros((dim, dim)), 0.0, [], (x * x).sum(1) ** 2
+        r = np.zeros(len(x))  # sums of squared similarities to what is chosen
+        while True:
+            fits = left & (total + hours <= budget + 1e-9)
+            if not fits.any():
+                break
+            k = len(out) + 1
+            score = np.where(fits, k * k / np.maximum(s + 2 * r + square, 1e-300), -np.inf)
+            i = int(np.argmax(np.round(score, 9)))
+            s += 2 * r[i] + square[i]
+            total += hours[i]
+            left[i] = False
+            r += (x @ x[i]) ** 2
+            out.append((int(own["id"][i]), k, float(k * k / s), float(total)))
+        return pd.DataFrame(out, columns=["id", "step", "vendi", "total"])
+
+    return rows.select("id", "v", "hours", F.lit(1).alias("one")).groupBy("one").applyInPandas(solve, "id long, step long, vendi double, total double")
 
 
 def medoids(rows: DataFrame) -> DataFrame:

@@ -9,41 +9,48 @@ from gleaner.functions import coerce, paths
 from gleaner.functions.vectors import euclidean
 from gleaner.operators import normalize, segments as cut, selection, similarity
 from gleaner.operators.graph import connected_components
+from gleaner.plans import reports  # noqa: F401  its queries are registered too
 from gleaner.plans import tables as t
+from gleaner.plans.registered import ORACLE_SQL, QUERIES, query
 from gleaner.sources.tables import table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 DIM = 64
 
 
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-#: Ways in which a number may be written; by event_id % 8.
+#: Ways in which a number may be written as text; by event_id % 8.
 _ODD_NUMBER = "case event_id % 8 when 0 then cast(value as {s}) when 1 then ' 1.5 ' when 2 then 'nan' when 3 then '1_000' when 4 then '1.5d' when 5 then 'true' when 6 then '' else '-2e2' end"
 
 
-@query(f"with r as (select event_id, {_ODD_NUMBER.format(s='varchar')} raw, value from events) select event_id, round(case event_id % 8 when 0 then value when 1 then 1.5 when 3 then 1000 when 5 then 1 when 7 then -200 else -1 end, 6) number, cast(case event_id % 8 when 0 then trunc(value) when 1 then 1 when 3 then 1000 when 5 then 1 when 7 then -200 else 7 end as bigint) \"integer\" from r")
+@query("select event_id, round(case event_id % 8 when 0 then value when 1 then 1.5 when 3 then 1000 when 7 then -200 else -1 end, 6) number, cast(case event_id % 8 when 0 then trunc(value) when 1 then 1 when 3 then 1000 when 7 then -200 else 7 end as bigint) \"integer\" from events")
 def q_coerce_number(spark, root: str) -> DataFrame:
     raw = table(spark, root, "events").select("event_id", F.expr(_ODD_NUMBER.format(s="string")).alias("raw"))
     return raw.select("event_id", F.round(coerce.to_number(F.col("raw"), -1), 6).alias("number"), coerce.to_integer(F.col("raw"), 7).alias("integer"))
 
 
-_ODD_BOOLEAN = "case event_id % 6 when 0 then ' Kept ' when 1 then 'DROP' when 2 then '2' when 3 then 'maybe' when 4 then cast(null as {s}) else 'no' end"
+_ODD_BOOLEAN = "case event_id % 6 when 0 then ' Kept ' when 1 then 'DROP' when 2 then '2' when 3 then 'maybe' when 4 then cast(null as string) else 'no' end"
 
 
-@query("select event_id, case event_id % 6 when 0 then true when 2 then true when 3 then true when 4 then true else false end flag from events")
+@query("select event_id, event_id % 6 = 0 is_true, event_id % 6 not in (1, 5) is_not_false from events")
 def q_coerce_bool(spark, root: str) -> DataFrame:
-    raw = table(spark, root, "events").select("event_id", F.expr(_ODD_BOOLEAN.format(s="string")).alias("raw"))
-    return raw.select("event_id", coerce.to_boolean(F.col("raw"), True).alias("flag"))
+    """Text by word: what is no word of either kind gives the fallback, here first false and then true."""
+    raw = table(spark, root, "events").select("event_id", F.expr(_ODD_BOOLEAN).alias("raw"))
+    return raw.select("event_id", coerce.to_boolean(F.col("raw"), False).alias("is_true"), coerce.to_boolean(F.col("raw"), True).alias("is_not_false"))
+
+
+#: JSON values by event_id % 12, and what they count as: (JSON, number or fallback -1, truth or fallback false, text or default "none").
+_JSON = [
+    ("true", "1", "true", "'True'"), ("false", "0", "false", "'none'"), ('"true"', "-1", "true", "'true'"), ('"2"', "2", "false", "'2'"),
+    ("2", "2", "true", "'2'"), ("0", "0", "false", "'none'"), ('"0"', "0", "false", "'0'"), ("null", "-1", "false", "'none'"),
+    ('"nan"', "-1", "false", "'nan'"), ("[]", "-1", "false", "'none'"), ('" 1.5 "', "1.5", "false", "' 1.5 '"), ('{"a":1}', "-1", "false", """'{"a":1}'"""),
+]
+
+
+@query("select event_id, " + ", ".join(f"cast(case event_id % 12 {' '.join(f'when {i} then {row[k]}' for i, row in enumerate(_JSON))} end as {kind}) {name}" for k, name, kind in ((1, "number", "double"), (2, "flag", "boolean"), (3, "words", "varchar"))) + " from events")
+def q_coerce_json(spark, root: str) -> DataFrame:
+    """The same rules on typed JSON values: the type counts."""
+    doc = F.concat(F.lit('{"x":'), F.element_at(F.array(*[F.lit(row[0]) for row in _JSON]), (F.col("event_id") % 12 + 1).cast("int")), F.lit("}"))
+    v = F.try_variant_get(F.parse_json(doc), "$.x", "variant")
+    return table(spark, root, "events").select("event_id", coerce.json_number(v, -1).alias("number"), coerce.json_boolean(v).alias("flag"), coerce.json_text(v, "none").alias("words"))
 
 
 @query("select event_id, cast(json_extract(props, '$.k') as double) k from events")
@@ -119,13 +126,6 @@ def q_interpolate(spark, root: str) -> DataFrame:
     return got.select("event_id", F.round("h", 6).alias("h"), F.round("y", 6).alias("y"))
 
 
-@query(f"with {t.SEG_SQL}, c as (select a.id segment_id, b.id neighbour_id, greatest(0, case when a.verb = b.verb then 0.95 else 0.79 end - least(0.14, abs(b.pct - a.pct) * 0.002)) similarity, row_number() over (partition by a.id order by a.verb <> b.verb, a.cluster = b.cluster, abs(b.pct - a.pct), b.pos) nth from seg a join seg b on a.id <> b.id and a.video_id <> b.video_id where a.pos < 20), n as (select *, row_number() over (partition by segment_id order by similarity desc, nth) rank from c where nth <= 5) select segment_id, neighbour_id, round(similarity, 6) similarity, cast(rank as int) rank from n")
-def q_neighbors_rule(spark, root: str) -> DataFrame:
-    s = t.segments(spark, root)
-    near = similarity.similar_segments(s.where("pos < 20"), s)
-    return near.select("segment_id", "neighbour_id", F.round("similarity", 6).alias("similarity"), "rank")
-
-
 @query(f"with {t.SEG_SQL} select id, episode_id, round(greatest(0.01, \"end\" - \"start\"), 6) duration, case when keep then 0.48 else 0.34 end::double width, \"end\" - \"start\" >= 2.4 labelled, row_number() over (partition by episode_id, verb order by \"start\", pos) = 1 legend from seg")
 def q_timeline(spark, root: str) -> DataFrame:
     from gleaner.plans.views import timeline
@@ -153,7 +153,15 @@ def q_sample_hash(spark, root: str) -> DataFrame:
 
 
 
-@query()
+def _sampled_sql(most: int = 600) -> str:
+    """The places that the seeded generator picks depend on the number of candidates; the SQL lists them up to ``most``."""
+    import random
+
+    picked = ", ".join(f"({n}, {random.Random(42).sample(range(n), min(10, n))})" for n in range(1, most))
+    return f"with {t.REG_SQL}, c as ({_CHOICES} {_AVAILABLE} and task = 'BUILDING'), r as (select *, row_number() over (order by episode_id) - 1 i, count(*) over () n from c), p as (select * from (values {picked}) v(n, places)) select episode_id, task from r join p on p.n = r.n where list_contains(places, i)"
+
+
+@query(_sampled_sql())
 def q_sample_exact(spark, root: str) -> DataFrame:
     return selection.sampled_exactly(selection.choices(selection.available(t.registry(spark, root)), "BUILDING"), "episode_id", 10, 42).select("episode_id", "task")
 
@@ -215,17 +223,6 @@ def q_frame_windows(spark, root: str) -> DataFrame:
     return w.select("episode", "file", "start_frame", "end_frame_exclusive", F.round("start_seconds", 6).alias("start_seconds"), F.round("duration_seconds", 6).alias("duration_seconds"))
 
 
-@query("with w as (select doc_id, unnest(range(0, n_chars, 60)) s from documents where n_chars > 0) select cast(doc_id as varchar) episode, count(*) expected, bool_and((doc_id + s // 60) % 11 <> 0) complete from w group by doc_id")
-def q_resume_check(spark, root: str) -> DataFrame:
-    """Episodes whose expected clips all exist; here a clip is missing where (episode + number) % 11 is 0."""
-    e = table(spark, root, "documents").select(F.col("doc_id").cast("string").alias("episode"), F.lit(30.0).alias("fps"), F.col("n_chars").alias("total_frames"))
-    expected = cut.frame_windows(e, 2.0).select("episode", "file", "start_frame")
-    clip = (F.col("episode").cast("long") + F.floor(F.col("start_frame") / 60)) % 11 != 0
-    from gleaner.plans.views import resume_state
-
-    return resume_state(expected, expected.where(clip).select("episode", "file", F.lit(1).cast("long").alias("length")))
-
-
 @query(f"with {t.SEG_SQL}, l as (select *, case when verb = lag(verb) over w then 0 else 1 end n from seg window w as (partition by episode_id order by \"start\", pos)), i as (select *, sum(n) over (partition by episode_id order by \"start\", pos) island from l) select episode_id, cast(island as bigint) island, min(verb) verb, round(min(\"start\"), 6) \"start\", round(max(\"end\"), 6) \"end\", count(*) n_segments from i group by episode_id, island having max(\"end\") - min(\"start\") >= 0.5")
 def q_islands(spark, root: str) -> DataFrame:
     c = cut.islands(t.segments(spark, root))
@@ -256,7 +253,7 @@ def q_motion(spark, root: str) -> DataFrame:
     return s.select("pos", F.round(speed, 6).alias("velocity"), F.round(smooth, 6).alias("smooth"), F.round(F.col("start") - F.first("start").over(w), 6).alias("since_first"))
 
 
-@query()
+@query(f"with {t.SEG_SQL}, p as (select episode_id, \"start\" t, max(\"end\") - \"start\" y from seg group by 1, 2), w as (select episode_id, t, y, lead(t) over (partition by episode_id order by t) t1, lead(y) over (partition by episode_id order by t) y1, min(t) over (partition by episode_id) lo, max(t) over (partition by episode_id) hi from p), g as (select w.*, i, case when i = 29 then hi else lo + i * ((hi - lo) / 29) end x from w, range(30) r(i) where t1 > t) select episode_id, cast(i as int) i, round(y + (y1 - y) * (x - t) / (t1 - t), 6) y from g where (i < 29 and x >= t and x < t1) or (i = 29 and t1 = hi)")
 def q_resample30(spark, root: str) -> DataFrame:
     s = t.segments(spark, root).groupBy("episode_id", "start").agg(F.max("end").alias("end"))
     return cut.resampled(s.select("episode_id", "start", (F.col("end") - F.col("start")).alias("y")), "episode_id", "start", "y").select("episode_id", "i", F.round("y", 6).alias("y"))

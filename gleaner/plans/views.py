@@ -50,22 +50,125 @@ def registry_summary(registry: DataFrame, needle: str) -> DataFrame:
     )
 
 
-def resume_state(expected: DataFrame, existing: DataFrame) -> DataFrame:
-    """(episode, expected, complete): complete if every expected file exists and isn't empty."""
-    found = existing.where("length > 0").select("episode", "file").distinct().withColumn("_found", F.lit(True))
-    both = expected.join(found, ["episode", "file"], "left")
-    return both.groupBy("episode").agg(F.count("*").alias("expected"), F.every(F.coalesce("_found", F.lit(False))).alias("complete"))
+def counted(rows: DataFrame, column: str) -> DataFrame:
+    """(value, n) of a column's values but null, most frequent first."""
+    return rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
+
+
+def equals(column: str, value: str) -> Column:
+    """Equality by which null is the empty text."""
+    return F.coalesce(F.col(column), F.lit("")) == value
 
 
 def within_budget(rows: DataFrame, key: str, score: str, hours: str, share: float) -> DataFrame:
-    """``rows`` with ``rank`` and running ``total`` by falling score while the total is at most ``share`` of all hours.
-    A row is an episode, already aggregated; the running sum needs their order in one place."""
-    w = Window.orderBy(F.desc(score), key)
+    """``rows`` with ``rank`` and running ``total`` by falling score while the total is at most ``share`` of all hours."""
+    from gleaner.operators.selection import placed
+
     every = rows.agg(F.sum(hours).alias("_all"))
-    ranked = rows.select("*", F.row_number().over(w).alias("rank"), F.sum(hours).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
+    ranked = placed(rows, [F.desc(score), F.col(key)], hours).select(*rows.columns, F.col("place").cast("int").alias("rank"), F.col("running").alias("total"))
     return ranked.crossJoin(F.broadcast(every)).where(F.col("total") <= share * F.col("_all")).drop("_all")  # one row
 
 
+def episode_rank(rows: DataFrame, score: str = "contribution") -> DataFrame:
+    """(episode_id, n, total, mean, rank): the segments' scores by episode, the highest mean first."""
+    from gleaner.operators.selection import placed
+
+    each = rows.groupBy("episode_id").agg(F.count("*").alias("n"), F.sum(score).alias("total"), F.round(F.avg(score), 9).alias("mean"))
+    return placed(each, [F.desc("mean"), F.col("episode_id")]).select("episode_id", "n", "total", "mean", F.col("place").alias("rank")).orderBy("rank")
+
+
+def strip(rows: DataFrame, score: str, key: str, n: int = 5) -> DataFrame:
+    """The ``n`` highest and the ``n`` lowest rows by score, with ``side`` and ``place``."""
+    top = rows.orderBy(F.desc(score), key).limit(n).withColumn("side", F.lit("top"))
+    low = rows.orderBy(F.asc(score), key).limit(n).withColumn("side", F.lit("bottom"))
+    w = Window.partitionBy("side").orderBy(F.when(F.col("side") == "top", -F.col(score)).otherwise(F.col(score)), key)
+    return top.unionByName(low).withColumn("place", F.row_number().over(w))
+
+
+def random_curve(rows: DataFrame, key: str, hours: str, kind: str, seed: int) -> DataFrame:
+    """(place, retained_hours, coverage): rows in an order by a seeded hash, the hours gathered, and the percentage of all
+    kinds met so far: what choosing at random covers."""
+    from gleaner.operators.selection import placed
+
+    mixed = rows.select(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}"))).alias("h"), F.col(key).alias("k"), F.col(hours).alias("hours"), F.col(kind).alias("kind"))
+    first = mixed.groupBy("kind").agg(F.min(F.struct("h", "k")).alias("f")).select("kind", "f.h", "f.k")
+    new = mixed.join(first.withColumn("new", F.lit(1.0)), ["kind", "h", "k"], "left").withColumn("new", F.coalesce("new", F.lit(0.0)))
+    kinds = mixed.agg(F.countDistinct("kind").alias("kinds"))
+    by_hours = placed(new, ["h", "k"], "hours").select("h", "k", "place", F.col("running").alias("retained_hours"))
+    by_kind = placed(new, ["h", "k"], "new").select("h", "k", "running")
+    both = by_hours.join(by_kind, ["h", "k"]).crossJoin(F.broadcast(kinds))  # one row
+    return both.select("place", "retained_hours", (F.col("running") / F.col("kinds") * 100).alias("coverage"))
+
+
+def budget_comparison(budgets: DataFrame, curve: DataFrame, original_hours: float) -> DataFrame:
+    """``budgets`` (hours) with coverage by choice and at random, their lift, and the shares kept and saved, from the curve
+    (retained_hours, diversity_coverage, random_coverage)."""
+    from gleaner.operators.segments import interpolated
+
+    by_choice = interpolated(budgets, curve, "retained_hours", "diversity_coverage", "hours")
+    out = interpolated(by_choice, curve, "retained_hours", "random_coverage", "hours")
+    hours, least = F.col("hours"), max(original_hours, 0.1)
+    saved = F.lit(0.0) if original_hours <= 0 else (1 - hours / original_hours) * 100
+    return out.select(
+        "*",
+        F.greatest(F.lit(0.0), F.col("diversity_coverage") - F.col("random_coverage")).alias("lift"),
+        F.least(F.lit(100.0), hours / least * 100).alias("retained_percent"),
+        saved.alias("reduction"),
+    )
+
+
+def largest_budget(curve: DataFrame, original_hours: float) -> DataFrame:
+    """One row (hours): the longest of the curve and of the original hours."""
+    return curve.agg(F.greatest(F.max("retained_hours"), F.lit(max(original_hours, 0.1))).alias("hours"))
+
+
+def initial_budget(summary: DataFrame) -> DataFrame:
+    """``summary`` with ``budget``: the selected hours, within 0 and the original ones."""
+    return summary.withColumn("budget", F.least(F.greatest(F.col("selected_hours"), F.lit(0.0)), F.greatest(F.col("original_hours"), F.lit(0.1))))
+
+
+def cards(summary: DataFrame) -> DataFrame:
+    """One row of the overview's figures as they are shown; ``summary`` has ``budget`` and ``coverage`` too."""
+    hours = lambda c: F.format_string("%.1fh", F.bround(c, 1))
+    whole = lambda c: F.format_string("%.0f", F.bround(c, 0))
+    saved = F.when(F.col("original_hours") > 0, (1 - F.col("budget") / F.col("original_hours")) * 100).otherwise(0.0)
+    return summary.select(
+        F.format_number("total_videos", 0).alias("total_videos"),
+        F.format_number("total_segments", 0).alias("total_segments"),
+        hours(F.col("original_hours")).alias("original_hours"),
+        hours(F.col("budget")).alias("selected_hours"),
+        F.concat(whole(F.greatest(F.lit(0.0), saved)), F.lit("%")).alias("data_reduction"),
+        F.concat(whole(F.col("coverage")), F.lit("%")).alias("behavioral_coverage"),
+        whole(F.col("composition_diversity")).alias("composition_diversity"),
+        whole(F.col("execution_diversity")).alias("execution_diversity"),
+    )
+
+
+def clips(segs: DataFrame, files: DataFrame) -> DataFrame:
+    """``segs`` with ``clip_kind``: remote, file if ``files`` (path) has it, else placeholder, and the ``clip_label`` of that."""
+    there = files.select(F.col("path").alias("clip_path")).distinct().withColumn("_there", F.lit(True))
+    path = F.col("clip_path")
+    remote = F.startswith(path, F.lit("https://")) | F.startswith(path, F.lit("http://"))
+    kind = F.when(remote, "remote").when(F.col("_there") & (path != ""), "file").otherwise("placeholder")
+    label = F.when(path == "", "No clip_path supplied").otherwise(F.element_at(F.split(path, "/"), -1))
+    both = segs.join(there, "clip_path", "left").withColumn("clip_kind", kind)
+    return both.withColumn("clip_label", F.when(F.col("clip_kind") == "placeholder", label)).drop("_there")
+
+
+def selected_row(found: DataFrame, every: DataFrame, wanted: str | None) -> DataFrame:
+    """The first segment with the ``wanted`` id of all segments, also of those that were filtered out; else the first that
+    was found; no row where nothing was found."""
+    any_found = found.orderBy("pos").limit(1)
+    stated = every.where(F.col("id") == wanted).orderBy("pos").limit(1).join(any_found.select(F.lit(1).alias("_any")), F.lit(True), "left_semi")
+    both = stated.withColumn("_o", F.lit(0)).unionByName(any_found.withColumn("_o", F.lit(1)))
+    return both.orderBy("_o").limit(1).drop("_o")
+
+
+def episodes_nested(segs: DataFrame) -> DataFrame:
+    """(episode_id, segments): each episode's segments by start, as an array."""
+    return segs.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("start", "pos", "id", "verb"))).alias("segments"))
+
+
 def canonical_verb(word: Column) -> Column:
     """Synonyms by name, then the endings -ing and -ed off longer words."""
     names = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv]) if SYNONYMS else F.create_map()

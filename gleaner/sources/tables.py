@@ -25,8 +25,16 @@ def listing(spark: SparkSession, root: str, glob: str | None = None) -> DataFram
     return reader.load(root).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+EPISODES = "path string, total_frames int, fps double, task_name string, embodiment string, feature_keys array<string>"
+
+
 def episode_metadata(spark: SparkSession, root: str, name: str = "zarr.json") -> DataFrame:
-    """(path, total_frames, fps, task_name, embodiment, feature_keys) from the attributes of each recording."""
+    """EPISODES from the attributes of each recording, in order of their paths; a missing root has none."""
+    from gleaner.sources.files import _file_system
+
+    target, fs = _file_system(spark, root)
+    if not fs.exists(target):
+        return spark.createDataFrame([], EPISODES)
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
     v = F.try_parse_json("value")
     get = lambda key, kind: F.try_variant_get(v, f"$.attributes.{key}", kind)
@@ -38,4 +46,4 @@ def episode_metadata(spark: SparkSession, root: str, name: str = "zarr.json") ->
         get("task_name", "string").alias("task_name"),
         get("embodiment", "string").alias("embodiment"),
         F.coalesce(keys, F.array().cast("array<string>")).alias("feature_keys"),
-    )
+    ).orderBy(F.split("path", "/"))
