@@ -88,7 +88,7 @@ def probe(contents: DataFrame, preview: int = 160, first: int = 16) -> DataFrame
     """(episode, metadata_path, metadata_preview, chunk_path, chunk_size_bytes, first_bytes_hex) of the first recording of
     ``contents`` (path, length, content): a look at its metadata and at its first chunk."""
     folder = F.regexp_extract("path", r"^(.*)/zarr\.json$", 1)
-    meta = contents.where(F.endswith("path", F.lit("/zarr.json"))).select(folder.alias("folder"), F.col("path").alias("metadata_path"), F.substring(F.decode("content", F.lit("UTF-8")), 1, preview).alias("metadata_preview"))
+    meta = contents.where(F.endswith("path", F.lit("/zarr.json"))).select(folder.alias("folder"), F.col("path").alias("metadata_path"), F.substring(F.decode("content", "UTF-8"), 1, preview).alias("metadata_preview"))
     meta = meta.orderBy(F.size(F.split("folder", "/")), "folder").limit(1)
     chunk = F.array_contains(F.split(F.col("path"), "/"), F.lit("c"))
     chunks = contents.where(chunk).select(F.col("path").alias("chunk_path"), F.col("length").alias("chunk_size_bytes"), F.lower(F.hex(F.substring("content", 1, first))).alias("first_bytes_hex"))
