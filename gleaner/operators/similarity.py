@@ -113,7 +113,8 @@ def _candidates(selected: DataFrame, segs: DataFrame, most: int) -> DataFrame:
 
     def packed(rows, name, *more):
         values = F.collect_list(F.struct("id", "video_id", "verb", "cluster", F.col("distinctiveness_percentile").alias("pct"), "pos", *more))
-        return rows.groupBy(F.pmod(F.xxhash64("pos"), F.lit(parts)).alias(name)).agg(values.alias(f"{name}_rows"))
+        blocks = rows.groupBy(F.pmod(F.xxhash64("pos"), F.lit(parts)).alias(name)).agg(values.alias(f"{name}_rows"))
+        return blocks.repartition(parts, name)  # one block a task: the work goes with pairs of blocks, not with their bytes
 
     def run(batches):
         import pandas as pd
@@ -121,14 +122,16 @@ def _candidates(selected: DataFrame, segs: DataFrame, most: int) -> DataFrame:
         for batch in batches:
             for q, x in zip(batch.column("q_rows"), batch.column("x_rows")):
                 q, x = (pd.DataFrame(c.as_py()) for c in (q, x))
-                code = {c: pd.factorize(pd.concat([q[c], x[c]], ignore_index=True))[0] for c in ("id", "video_id", "verb", "cluster")}
+                found = {c: pd.factorize(pd.concat([q[c], x[c]], ignore_index=True)) for c in ("id", "video_id", "verb", "cluster")}
+                code, of_id = {c: v[0] for c, v in found.items()}, {v: i for i, v in enumerate(found["id"][1])}
                 mine, other = {c: v[: len(q)] for c, v in code.items()}, {c: v[len(q) :] for c, v in code.items()}
                 pos, pct = x["pos"].to_numpy(), x["pct"].to_numpy(float)
                 out = {c: [] for c in ("sid", "id", "pos", "same_verb", "same_cluster", "difference")}
                 for i, (sid, named, p) in enumerate(zip(q["id"], q["named"], q["pct"].to_numpy(float))):
                     ok = (other["id"] != mine["id"][i]) & (other["video_id"] != mine["video_id"][i])
-                    if len(named):
-                        ok &= ~x["id"].isin(set(named)).to_numpy()
+                    met = [of_id[n] for n in named if n in of_id]
+                    if met:
+                        ok &= ~np.isin(other["id"], met)
                     at = np.nonzero(ok)[0]
                     verb, cluster = other["verb"][at] == mine["verb"][i], other["cluster"][at] == mine["cluster"][i]
                     apart = np.abs(pct[at] - p)
