@@ -44,14 +44,24 @@ def grammar(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 4, least
         n = len(seq)
         if n < 2 * least:
             break
-        bucket = (seq[:-1] * np.uint32(2654435761) + seq[1:] * np.uint32(2246822519)) >> np.uint32(12)
+        bucket = ((seq[:-1] * np.uint32(2654435761) + seq[1:] * np.uint32(2246822519)) >> np.uint32(12)).astype(np.intp)
         size = np.bincount(bucket, minlength=1 << 20)
         reached = np.cumsum(np.bincount(size)[::-1])  # buckets of at least max, max - 1, ... pairs
         size_floor = max(least, len(reached) - 1 - int(np.searchsorted(reached, 2 * per_round)))
-        at = np.nonzero((size >= size_floor)[bucket] & ~last[:-1])[0]
+        heavy = size >= size_floor
+        at = np.nonzero(heavy[bucket] & ~last[:-1])[0]
         if not len(at):
             break
-        pair, which, count = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_inverse=True, return_counts=True)
+        # Nearly all pairs of a bucket are one pair; only the others are told apart by sorting.
+        place, n_heavy = np.empty(len(size), np.int32), int(heavy.sum())
+        place[heavy] = np.arange(n_heavy)
+        key, which = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], place[bucket[at]]
+        common = np.zeros(n_heavy, np.uint64)
+        common[which] = key
+        apart = np.nonzero(common[which] != key)[0]
+        rare, inverse = np.unique(key[apart], return_inverse=True)
+        which[apart] = n_heavy + inverse
+        pair, count = np.concatenate([common, rare]), np.bincount(which, minlength=n_heavy + len(rare))
         top = np.argsort(-count, kind="stable")[:per_round]
         chosen = np.zeros(len(pair), bool)
         chosen[top] = count[top] >= least

@@ -24,7 +24,7 @@ _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _OTHER = re.compile(rf"[^ -~\n{_LETTERS}]")
 _APOSTROPHES = "'s|'t|'re|'ve|'m|'ll|'d"
-_SPACED = re.compile(rf"{_APOSTROPHES}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
+_SPACED = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|{_APOSTROPHES}| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 _SPACELESS = re.compile(rf"{_APOSTROPHES}|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
 
 
