@@ -294,6 +294,30 @@ def test_stated_neighbours_count_by_row(spark):
     assert [r["explanation"] for r in got][3:] == [similarity.OTHER_STYLE, "said"]
 
 
+def test_neighbours_are_looked_up_in_parts(spark, monkeypatch):
+    """Parts of few rows, ties, stated ids and videos of many segments give what all pairs give, and no pairs are made."""
+    import random
+
+    monkeypatch.setattr(similarity, "PART", 60)
+    rng = random.Random(3)
+    segs = [(i, str(i), f"m{rng.choice([0, 0, rng.randrange(9)])}", f"v{min(rng.randrange(9), 5)}", f"c{rng.randrange(2)}", rng.randrange(40) / 7) for i in range(300)]
+    segs.append((300, "300", "m1", "alone", "c0", 1.0))
+    asked = [(*s, [str(rng.randrange(305)) for _ in range(rng.choice([0, 2]))]) for s in segs if s[0] % 10 == 0]
+    by, want = {s[1]: s for s in segs}, {}
+    for pos, id, video, verb, cluster, pct, named in asked:
+        met = [n for n in named if n in by and by[n][2] != video]
+        rest = [s for s in segs if s[1] not in (id, *met) and s[2] != video]
+        rest.sort(key=lambda s: (s[3] != verb, s[4] == cluster, abs(s[5] - pct), s[0]))
+        want[id] = sorted(s[1] for s in rest[: 5 - len(met)])
+    schema = "pos long, id string, video_id string, verb string, cluster string, distinctiveness_percentile double, neighbors array<struct<segment_id: string, similarity: double, explanation: string>>"
+    all_, some = (spark.createDataFrame([(*r[:6], [(n, 0.5, "") for n in (r[6] if len(r) > 6 else [])]) for r in rows], schema) for rows in (segs, asked))
+    monkeypatch.delattr(type(all_), "crossJoin")
+    got = {a[1]: [] for a in asked}
+    for r in similarity.similar_segments(some, all_).where("source = 'rule'").collect():
+        got[r["segment_id"]].append(r["neighbour_id"])
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_sessions_stream(spark, tmp_path):
     from gleaner import streaming
 
