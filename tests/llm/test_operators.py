@@ -532,6 +532,21 @@ def test_edited_passages_behind_shorter_ones(spark):
     assert found >= 95
 
 
+def test_edited_passages_behind_many_leaders(spark):
+    """Two copies of every pair of halves, with another word between them: each half, too short to be a passage, has texts of
+    six classes, and nothing but the halves is in common."""
+    text = texts_of(11, 30)
+    first, second = ([text() for _ in range(6)] for _ in range(2))
+    rows = [(i, j, text(25) + x + text(1) + y + text(25)) for i, x in enumerate(first) for j, y in enumerate(second) for _ in range(2)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame([(d, b" ".join(w).decode()) for d, (_, _, w) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in passages.repeated_passages(df).collect()}
+    least = {}
+    for d, (i, j, _) in enumerate(rows):
+        least.setdefault((i, j), d)
+    assert got == {d: least[i, j] for d, (i, j, _) in enumerate(rows)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
