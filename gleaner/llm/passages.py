@@ -473,7 +473,7 @@ def _apart(left: DataFrame, roots: DataFrame, texts: DataFrame, min_words: int,
 
     Its longest run has ``certain_run`` shingles around a signature, and fewer than ``min_words`` words, as equal stretches
     are linked before; the next run begins within a gap of its end. So both rows have that stretch and on the same side of
-    it a shingle in common, with different words on the way. Rows whose words on the way are equal are no pair by it: a
+    its signature a shingle in common, with different words on the way. Rows whose words on the way are equal are no pair by it: a
     line that many texts have gives none.
     """
     run, context = certain_run(min_words, similarity), sizes(min_words, similarity)[1]
@@ -484,25 +484,25 @@ def _apart(left: DataFrame, roots: DataFrame, texts: DataFrame, min_words: int,
         for row, keys, x in zip(rows["row"], rows["keys"], rows["text"]):
             sh = shingles(word_hashes(_bytes(x)))
             last = np.nonzero(np.isin(spans_hashed(sh, context), np.array(keys, np.int64).view(np.uint64)))[0]
-            starts = np.unique(last[:, None] - np.arange(run - context + 1)[None, :])
-            starts = starts[(starts >= 0) & (starts <= len(sh) - run)]
-            out["g"].append(spans_hashed(sh, run)[starts].view(np.int64))
-            out["row"].append(np.full(len(starts), row, np.int64))
-            out["at"].append(starts.astype(np.int32))
+            starts = (last[:, None] - np.arange(run - context + 1)[None, :]).ravel()
+            ok = (starts >= 0) & (starts <= len(sh) - run)
+            out["g"].append(spans_hashed(sh, run)[starts[ok]].view(np.int64))
+            out["row"].append(np.full(ok.sum(), row, np.int64))
+            out["at"].append(np.repeat(last, run - context + 1)[ok].astype(np.int32))
         return {c: np.concatenate(v) if v else [] for c, v in out.items()}
 
     def beyond(rows):
-        out = {c: [] for c in ("g", "h", "path", "row", "key")}
+        out = {c: [] for c in ("key", "h", "path", "row")}
         for row, places, x in zip(rows["row"], rows["places"], rows["text"]):
             sh = shingles(word_hashes(_bytes(x)))
-            g, keys, n = spans_hashed(sh, run), spans_hashed(sh, context), len(sh)
+            keys, n = spans_hashed(sh, context), len(sh)
             total = np.concatenate([[np.uint64(0)], np.cumsum(sh * _powers(_B, n), dtype=np.uint64)])
             back = _powers(_B_INVERSE, n)
             for p in np.asarray(places, np.int64).tolist():
-                right, left = np.arange(p + run, min(n, p + reach + 1)), np.arange(max(0, p - reach), p)
-                path = np.concatenate([(total[right + 1] - total[p]) * back[p], (total[p + run] - total[left]) * back[left]])
+                right, left = np.arange(p + context, min(n, p + reach + 1)), np.arange(max(0, p - reach), p)
+                path = np.concatenate([(total[right + 1] - total[p]) * back[p], (total[p + context] - total[left]) * back[left]])
                 h = np.concatenate([_mix(sh[right], 21), _mix(sh[left], 22)])
-                for c, v in (("g", np.full(len(h), g[p])), ("h", h), ("path", path), ("key", np.full(len(h), keys[p]))):
+                for c, v in (("key", np.full(len(h), keys[p])), ("h", h), ("path", path)):
                     out[c].append(v.view(np.int64))
                 out["row"].append(np.full(len(h), row, np.int64))
         return {c: np.concatenate(v) if v else [] for c, v in out.items()}
@@ -519,11 +519,11 @@ def _apart(left: DataFrame, roots: DataFrame, texts: DataFrame, min_words: int,
     some = of_several(rooted(left.select("key", "row")), ["key"]).groupBy("row").agg(F.collect_set("key").alias("keys"))
     each = map_rows(some.join(texts.select("row", "text"), "row"), stretches, "g long, row long, at int", char_col="text")
     some = of_several(rooted(each), ["g"]).groupBy("row").agg(F.collect_set("at").alias("places"))
-    each = map_rows(some.join(texts.select("row", "text"), "row"), beyond, "g long, h long, path long, row long, key long", size=16, char_col="text")
-    met = of_several(rooted(each.distinct()), ["g", "h"], "path")
-    a = met.select("g", "h", "row", "key", F.col("path").alias("p"), F.col("root").alias("r"))
-    b = met.select("g", "h", F.col("row").alias("lead"), F.col("path").alias("q"), F.col("root").alias("s"))
-    pairs = a.hint("merge").join(b, ["g", "h"]).where((F.col("p") != F.col("q")) & (F.col("r") != F.col("s")) & (F.col("lead") < F.col("row")))
+    each = map_rows(some.join(texts.select("row", "text"), "row"), beyond, "key long, h long, path long, row long", size=16, char_col="text")
+    met = of_several(rooted(each.distinct()), ["key", "h"], "path")
+    a = met.select("key", "h", "row", F.col("path").alias("p"), F.col("root").alias("r"))
+    b = met.select("key", "h", F.col("row").alias("lead"), F.col("path").alias("q"), F.col("root").alias("s"))
+    pairs = a.hint("merge").join(b, ["key", "h"]).where((F.col("p") != F.col("q")) & (F.col("r") != F.col("s")) & (F.col("lead") < F.col("row")))
     return pairs.select("row", "lead", "key").distinct()
 
 
