@@ -34,9 +34,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections import OrderedDict
 from functools import cached_property, lru_cache, reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -408,8 +410,8 @@ def _bytes(text: str | None) -> bytes:
 
 
 _SPANS = "array<struct<s: int, e: int>>"
-#: Rows of one leader that are verified in one place.
-DEALT = 512
+#: Rows of one leader that are verified in one place, and words of texts that are kept there while others are read.
+DEALT, KEPT = 512, 500_000
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
@@ -425,11 +427,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, min_words: int, similarity: fl
 
     def begin():
         known: list = [None]  # the leader whose rows follow
+        kept: OrderedDict = OrderedDict()  # the texts that were met last
+        total = 0  # of their words
+
+        def read(row, x):
+            nonlocal total
+            if row in kept:
+                kept.move_to_end(row)
+                return kept[row]
+            text = kept[row] = Text(_bytes(x), min_words, similarity)
+            total += len(text.words)
+            while len(kept) > 1 and total > KEPT:
+                total -= len(kept.popitem(last=False)[1].words)
+            return text
 
         def run(rows):
             out = {"row": [], "lead": [], "spans": [], "lead_spans": [], "left": []}
             for tag, row, lead, keys, x in zip(*(rows[c] for c in ("tag", "row", "lead", "keys", "text"))):
-                text = Text(_bytes(x), min_words, similarity)
+                text = read(lead if tag == 0 else row, x)
                 if tag == 0:
                     known[0] = text
                     continue
@@ -468,61 +483,113 @@ def _equal_stretches(open_rows: DataFrame, texts: DataFrame, min_words: int, sim
     return map_rows(each, run, "h1 long, h2 long, row long, at int", char_col="text")
 
 
+#: Places of a signature whose surroundings are compared in one place, and places of a text that are read at once.
+CROWD, READ = 4096, 16384
+
+
 def _apart(left: DataFrame, roots: DataFrame, texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
     """(row, lead, key): pairs of rows of (key, row) that lie in different components and may share a passage with a gap.
 
-    Its longest run has ``certain_run`` shingles around a signature, and fewer than ``min_words`` words, as equal stretches
-    are linked before; the next run begins within a gap of its end. So both rows have that stretch and on the same side of
-    its signature a shingle in common, with different words on the way. Rows whose words on the way are equal are no pair by it: a
-    line that many texts have gives none.
+    It has a run of ``certain_run`` shingles or more, and fewer than ``min_words`` words, as equal stretches are linked
+    before; the next run begins within a gap of its end. So both rows have a stretch of that length, whose smallest shingle
+    begins a signature, and beyond a shingle in common, with different ones before it, where the next run begins. Rows that
+    differ in no such place are no pair: a line that many texts have gives none.
+
+    What surrounds a place is one row, not a row for each shingle; shingles of a signature's places meet in arrays. Where
+    a signature has more than CROWD places they are dealt out by shingle.
     """
-    run, context = certain_run(min_words, similarity), sizes(min_words, similarity)[1]
-    reach = 2 * min_words + WIDTH
+    window, context = sizes(min_words, similarity)
+    run, longest, gap = window + context - 1, min_words - WIDTH, min_words
+    # A run's first shingle beyond a run that begins at the signature, and the last before one that ends with it.
+    steps = np.concatenate([np.arange(context - longest - WIDTH - gap, 1 - WIDTH), np.arange(context + WIDTH - 1, longest + WIDTH + gap)])
 
     def stretches(rows):
-        out = {c: [] for c in ("g", "row", "at")}
-        for row, keys, x in zip(rows["row"], rows["keys"], rows["text"]):
+        out = {c: [] for c in ("g", "row", "root", "at", "key")}
+        for row, root, keys, x in zip(rows["row"], rows["root"], rows["keys"], rows["text"]):
             sh = shingles(word_hashes(_bytes(x)))
-            last = np.nonzero(np.isin(spans_hashed(sh, context), np.array(keys, np.int64).view(np.uint64)))[0]
-            starts = (last[:, None] - np.arange(run - context + 1)[None, :]).ravel()
+            if len(sh) < run:
+                continue
+            contexts, h = spans_hashed(sh, context), _mix(sh, 11)
+            last = np.nonzero(np.isin(contexts, np.array(keys, np.int64).view(np.uint64)))[0]
+            at, starts = np.repeat(last, window), (last[:, None] - np.arange(window)[None, :]).ravel()
             ok = (starts >= 0) & (starts <= len(sh) - run)
-            out["g"].append(spans_hashed(sh, run)[starts[ok]].view(np.int64))
-            out["row"].append(np.full(ok.sum(), row, np.int64))
-            out["at"].append(np.repeat(last, run - context + 1)[ok].astype(np.int32))
+            at, starts = at[ok], starts[ok]
+            ok = _sliding(h, window, np.minimum)[starts] == h[at]
+            at, starts = at[ok], starts[ok]
+            values = spans_hashed(sh, run)[starts].view(np.int64), np.full(len(at), row), np.full(len(at), root), at.astype(np.int32), contexts[at].view(np.int64)
+            for c, v in zip(out, values):
+                out[c].append(v)
         return {c: np.concatenate(v) if v else [] for c, v in out.items()}
 
     def beyond(rows):
-        out = {c: [] for c in ("key", "h", "path", "row")}
-        for row, places, x in zip(rows["row"], rows["places"], rows["text"]):
+        out = {c: [] for c in ("key", "salt", "row", "root", "h", "beside")}
+        for row, root, places, x in zip(rows["row"], rows["root"], rows["places"], rows["text"]):
             sh = shingles(word_hashes(_bytes(x)))
-            keys, n = spans_hashed(sh, context), len(sh)
-            total = np.concatenate([[np.uint64(0)], np.cumsum(sh * _powers(_B, n), dtype=np.uint64)])
-            back = _powers(_B_INVERSE, n)
-            for p in np.asarray(places, np.int64).tolist():
-                right, left = np.arange(p + context, min(n, p + reach + 1)), np.arange(max(0, p - reach), p)
-                path = np.concatenate([(total[right + 1] - total[p]) * back[p], (total[p + context] - total[left]) * back[left]])
-                h = np.concatenate([_mix(sh[right], 21), _mix(sh[left], 22)])
-                for c, v in (("key", np.full(len(h), keys[p])), ("h", h), ("path", path)):
-                    out[c].append(v.view(np.int64))
-                out["row"].append(np.full(len(h), row, np.int64))
-        return {c: np.concatenate(v) if v else [] for c, v in out.items()}
+            keys, n = spans_hashed(sh, context).view(np.int64), len(sh)
+            after, before = ((_mix(sh, seed) >> np.uint64(32)).astype(np.uint32) for seed in (21, 22))
+            for first in range(0, len(places), 512):
+                at, parts = (np.array([p[c] for p in places[first : first + 512]], np.int64) for c in ("at", "parts"))
+                to = at[:, None] + steps
+                ok = (to >= 0) & (to < n)
+                to = np.clip(to, 0, n - 1)
+                h = np.where(steps > 0, after[to], before[to])
+                beside = np.where(steps > 0, after[np.maximum(to - 1, 0)], before[np.minimum(to + 1, n - 1)])
+                for k, p in enumerate(at.tolist()):
+                    for salt in range(parts[k]):
+                        mine = ok[k] if parts[k] == 1 else ok[k] & (h[k] % parts[k] == salt)
+                        for c, v in zip(out, (keys[p], salt, row, root, h[k, mine].tobytes(), beside[k, mine].tobytes())):
+                            out[c].append(v)
+        return out
 
-    def of_several(rows, by, *differ):
-        """Rows of (by) that has several roots, and several values of ``differ``."""
-        ends = [f(c).alias(f"{c}_{n}") for c in ("root", *differ) for f, n in ((F.min, "low"), (F.max, "high"))]
-        several = reduce(lambda a, b: a & b, [F.col(f"{c}_low") < F.col(f"{c}_high") for c in ("root", *differ)])
-        return checkpoint(rows.hint("merge").join(rows.groupBy(*by).agg(*ends).where(several).select(*by), by))
-
-    def rooted(rows):
-        return checkpoint(rows.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")))
-
-    some = of_several(rooted(left.select("key", "row")), ["key"]).groupBy("row").agg(F.collect_set("key").alias("keys"))
-    each = map_rows(some.join(texts.select("row", "text"), "row"), stretches, "g long, row long, at int", char_col="text")
-    some = of_several(rooted(each), ["g"]).groupBy("row").agg(F.collect_set("at").alias("places"))
-    each = map_rows(some.join(texts.select("row", "text"), "row"), beyond, "key long, h long, path long, row long", size=16, char_col="text")
-    met = of_several(rooted(each.distinct()), ["key", "h"], "path")
-    a = met.select("key", "h", "row", F.col("path").alias("p"), F.col("root").alias("r"))
-    b = met.select("key", "h", F.col("row").alias("lead"), F.col("path").alias("q"), F.col("root").alias("s"))
+    def met(table):
+        """Of the places of whole groups the shingles that several roots have, beside several others."""
+        key, salt, row, root = (table.column(c).to_numpy() for c in ("key", "salt", "row", "root"))
+        group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
+        size = np.array([len(x.as_buffer()) // 4 for x in table.column("h")], np.int64)
+        h, beside = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32) for c in ("h", "beside"))
+        place = np.repeat(np.arange(len(key)), size)
+        item = group[place].astype(np.uint64) << np.uint64(32) | h
+        order = np.argsort(item, kind="stable")
+        item = item[order]
+        begins = np.nonzero(np.concatenate([item[:1] == item[:1], item[1:] != item[:-1]]))[0]
+        several = np.ones(len(begins), bool)
+        for v in (root[place], beside):
+            if len(begins):
+                several &= np.minimum.reduceat(v[order], begins) < np.maximum.reduceat(v[order], begins)
+        some = order[np.repeat(several, np.diff(begins, append=len(item)))]
+        at = place[some]
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (key[at], h[some].astype(np.int64), beside[some].astype(np.int64), row[at], root[at])], names=["key", "h", "beside", "row", "root"])
+
+    def meet(batches):
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch])
+            if not table.num_rows:
+                continue
+            key, salt = (table.column(c).to_numpy() for c in ("key", "salt"))
+            whole = int(((key != key[-1]) | (salt != salt[-1])).sum())
+            if whole:
+                yield met(table.slice(0, whole))
+            kept = table.slice(whole)
+        if kept is not None:
+            yield met(kept)
+        pa.default_memory_pool().release_unused()
+
+    def of_several(rows, by):
+        """Rows of (by) that has several roots."""
+        several = rows.groupBy(by).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(by)
+        return rows.hint("merge").join(several, by)
+
+    some = checkpoint(left.select("key", "row").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")))
+    some = of_several(some, "key").groupBy("row", "root").agg(F.collect_set("key").alias("keys"))
+    each = checkpoint(map_rows(some.join(texts.select("row", "text"), "row"), stretches, "g long, row long, root long, at int, key long", char_col="text"))
+    places = checkpoint(of_several(each, "g").select("row", "root", "at", "key").distinct())
+    crowds = places.groupBy("key").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).where("parts > 1")
+    some = places.join(crowds, "key", "left").groupBy("row", "root", F.floor(F.col("at") / READ)).agg(F.collect_list(F.struct("at", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("places"))
+    each = map_rows(some.select("row", "root", "places").join(texts.select("row", "text"), "row"), beyond, "key long, salt int, row long, root long, h binary, beside binary", size=64, char_col="text")
+    shared = checkpoint(each.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(meet, "key long, h long, beside long, row long, root long").distinct())
+    a = shared.select("key", "h", "row", F.col("beside").alias("p"), F.col("root").alias("r"))
+    b = shared.select("key", "h", F.col("row").alias("lead"), F.col("beside").alias("q"), F.col("root").alias("s"))
     pairs = a.hint("merge").join(b, ["key", "h"]).where((F.col("p") != F.col("q")) & (F.col("r") != F.col("s")) & (F.col("lead") < F.col("row")))
     return pairs.select("row", "lead", "key").distinct()
 

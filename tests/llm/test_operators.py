@@ -547,6 +547,22 @@ def test_edited_passages_behind_many_leaders(spark):
     assert got == {d: least[i, j] for d, (i, j, _) in enumerate(rows)}
 
 
+def test_surroundings_are_one_row_a_place(spark, monkeypatch):
+    """Texts that share a line of 30 words, each between others: no step makes a row for each shingle around it."""
+    text, made = texts_of(12, 30), []
+    line = text()
+    rows = [(d, b" ".join(text(90) + line + text(90)).decode()) for d in range(40)]
+
+    def counted(*args, f=passages.map_rows, **kw):
+        out = f(*args, **kw)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "map_rows", counted)
+    assert not passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert max(made) <= 100 * len(rows)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
