@@ -130,7 +130,8 @@ def certain_run(min_words: int, similarity: float) -> int:
 def _shared(min_words: int, similarity: float) -> list[float]:
     """Shingles that two such passages share at least, by the number of gaps."""
     least, ratio = min_words - WIDTH + 1, similarity / max(1 - similarity, 1e-9)
-    return [max(least - (WIDTH - 1) * k, ratio * (2 * WIDTH - 1) * k) for k in range(max(1, least))]
+    # Each side has at least ``least``, and both together lose no more than shared / ratio.
+    return [max(2 * least / (2 + (k > 0) / ratio), ratio * (2 * WIDTH - 1) * k) for k in range(max(1, least))]
 
 
 @lru_cache
@@ -483,8 +484,21 @@ def _equal_stretches(open_rows: DataFrame, texts: DataFrame, min_words: int, sim
     return map_rows(each, run, "h1 long, h2 long, row long, at int", char_col="text")
 
 
-#: Places of a signature whose surroundings are compared in one place, and places of a text that are read at once.
-CROWD, READ = 4096, 16384
+#: Rows of a signature whose surroundings are compared in one place, and the most parts that more rows are dealt out in;
+#: places of a text that are read at once.
+CROWD, PARTS, READ = 4096, 256, 512
+
+
+def _variety(sh: np.ndarray, width: int) -> np.ndarray:
+    """How many different values each stretch of ``width`` has, by where it starts; the last stretches are shorter."""
+    n = len(sh)
+    order = np.argsort(sh, kind="stable")
+    earlier = np.full(n, -1)
+    again = np.nonzero(sh[order[1:]] == sh[order[:-1]])[0]
+    earlier[order[again + 1]] = order[again]
+    # A value counts in the stretches that hold it and start behind the one before that equals it.
+    firsts = np.maximum(np.maximum(earlier + 1, np.arange(n) - width + 1), 0)
+    return np.cumsum(np.bincount(firsts, minlength=n) - np.concatenate([[0], np.ones(n - 1, np.int64)]))
 
 
 def _apart(left: DataFrame, roots: DataFrame, texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
@@ -495,59 +509,96 @@ def _apart(left: DataFrame, roots: DataFrame, texts: DataFrame, min_words: int,
     begins a signature, and beyond a shingle in common, with different ones before it, where the next run begins. Rows that
     differ in no such place are no pair: a line that many texts have gives none.
 
-    What surrounds a place is one row, not a row for each shingle; shingles of a signature's places meet in arrays. Where
-    a signature has more than CROWD places they are dealt out by shingle.
+    Of the passage's gaps, each at least 2 * WIDTH - 1 lost shingles (as for ``certain_run``), one is paid for by the
+    different shingles of the two runs beside it: dealt to the gaps, half of a run to either side and all of an outer one to
+    its only side, the runs must pay for all. So two such runs have ``need`` different shingles, and what repeats itself
+    so much that no two stretches of a run's length around a place have them takes no part.
+
+    What surrounds a signature in a text is one row, in which what stands there several times counts once; it meets that
+    of other texts in arrays. Where a signature has more than CROWD rows they are dealt out by shingle, in at most
+    PARTS parts, so that the rows made grow with the input whatever the size of a group.
     """
     window, context = sizes(min_words, similarity)
     run, longest, gap = window + context - 1, min_words - WIDTH, min_words
+    need = similarity / max(1 - similarity, 1e-9) * (2 * WIDTH - 1) - 1e-6
     # A run's first shingle beyond a run that begins at the signature, and the last before one that ends with it.
     steps = np.concatenate([np.arange(context - longest - WIDTH - gap, 1 - WIDTH), np.arange(context + WIDTH - 1, longest + WIDTH + gap)])
 
+    def read(x):
+        """The shingles of a text, what the richest run around a place has, and one that begins or ends there."""
+        sh = shingles(word_hashes(_bytes(x)))
+        if len(sh) < run:
+            return None
+        begins = _variety(sh, longest)
+        ends = np.concatenate([np.repeat(begins[:1], min(len(sh), longest - 1)), begins])[: len(sh)]
+        around = _sliding(np.concatenate([np.zeros(longest - 1, np.int64), begins]), longest, np.maximum)
+        return sh, _mix(sh, 11), around, begins, ends
+
     def stretches(rows):
-        out = {c: [] for c in ("g", "row", "root", "at", "key")}
+        out = {c: [] for c in ("g", "row", "root", "key")}
         for row, root, keys, x in zip(rows["row"], rows["root"], rows["keys"], rows["text"]):
-            sh = shingles(word_hashes(_bytes(x)))
-            if len(sh) < run:
+            if (text := read(x)) is None:
                 continue
-            contexts, h = spans_hashed(sh, context), _mix(sh, 11)
+            sh, h, around, begins, ends = text
+            contexts = spans_hashed(sh, context)
             last = np.nonzero(np.isin(contexts, np.array(keys, np.int64).view(np.uint64)))[0]
+            beside = np.concatenate([np.zeros(-steps[0], np.int64), ends]), np.concatenate([begins, np.zeros(steps[-1], np.int64)])
+            rich = np.maximum(*(_sliding(v, 1 + k, np.maximum) for v, k in zip(beside, (-steps[0], steps[-1]))))
+            last = last[around[last] + rich[last] >= need]
             at, starts = np.repeat(last, window), (last[:, None] - np.arange(window)[None, :]).ravel()
             ok = (starts >= 0) & (starts <= len(sh) - run)
             at, starts = at[ok], starts[ok]
             ok = _sliding(h, window, np.minimum)[starts] == h[at]
             at, starts = at[ok], starts[ok]
-            values = spans_hashed(sh, run)[starts].view(np.int64), np.full(len(at), row), np.full(len(at), root), at.astype(np.int32), contexts[at].view(np.int64)
-            for c, v in zip(out, values):
+            # A text that repeats itself has a stretch once.
+            both = np.unique(np.stack([spans_hashed(sh, run)[starts], contexts[at]], 1).view(np.int64), axis=0)
+            for c, v in zip(out, (both[:, 0], np.full(len(both), row), np.full(len(both), root), both[:, 1])):
                 out[c].append(v)
         return {c: np.concatenate(v) if v else [] for c, v in out.items()}
 
     def beyond(rows):
-        out = {c: [] for c in ("key", "salt", "row", "root", "h", "beside")}
-        for row, root, places, x in zip(rows["row"], rows["root"], rows["places"], rows["text"]):
-            sh = shingles(word_hashes(_bytes(x)))
-            keys, n = spans_hashed(sh, context).view(np.int64), len(sh)
-            after, before = ((_mix(sh, seed) >> np.uint64(32)).astype(np.uint32) for seed in (21, 22))
-            for first in range(0, len(places), 512):
-                at, parts = (np.array([p[c] for p in places[first : first + 512]], np.int64) for c in ("at", "parts"))
-                to = at[:, None] + steps
-                ok = (to >= 0) & (to < n)
-                to = np.clip(to, 0, n - 1)
-                h = np.where(steps > 0, after[to], before[to])
-                beside = np.where(steps > 0, after[np.maximum(to - 1, 0)], before[np.minimum(to + 1, n - 1)])
-                for k, p in enumerate(at.tolist()):
-                    for salt in range(parts[k]):
-                        mine = ok[k] if parts[k] == 1 else ok[k] & (h[k] % parts[k] == salt)
-                        for c, v in zip(out, (keys[p], salt, row, root, h[k, mine].tobytes(), beside[k, mine].tobytes())):
+        out = {c: [] for c in ("key", "salt", "row", "root", "items")}
+        for row, root, some, x in zip(rows["row"], rows["root"], rows["some"], rows["text"]):
+            sh, h, around, begins, ends = read(x)
+            n, contexts = len(sh), spans_hashed(sh, context).view(np.int64)
+            after, before = (_mix(sh, seed) >> np.uint64(32) for seed in (21, 22))
+            parts = {p["key"]: p["parts"] for p in some}
+            starts = np.nonzero(np.isin(spans_hashed(sh, run).view(np.int64), np.array([p["g"] for p in some], np.int64)))[0]
+            within = starts[:, None] + np.arange(window)
+            places = np.unique(within[h[within] == h[within].min(axis=1, keepdims=True)])
+            places = places[np.isin(contexts[places], np.array(list(parts), np.int64))]
+            places = places[np.argsort(contexts[places], kind="stable")]
+            for of_key in np.split(places, np.nonzero(np.diff(contexts[places]))[0] + 1) if len(places) else []:
+                items = []
+                for first in range(0, len(of_key), READ):
+                    at = of_key[first : first + READ, None]
+                    to = at + steps
+                    ok = (to >= 0) & (to < n)
+                    to = np.clip(to, 0, n - 1)
+                    ok &= around[at] + np.where(steps > 0, begins[to], ends[to]) >= need
+                    right = np.broadcast_to(steps > 0, to.shape)[ok]
+                    to = to[ok]
+                    a = after[to] << np.uint64(32) | after[np.maximum(to - 1, 0)]
+                    b = before[to] << np.uint64(32) | before[np.minimum(to + 1, n - 1)]
+                    items.append(np.unique(np.where(right, a, b)))
+                items = np.unique(np.concatenate(items)) if len(items) > 1 else items[0]
+                key = int(contexts[of_key[0]])
+                salts = (items >> np.uint64(32)) % np.uint64(parts[key])
+                for salt in range(parts[key]):
+                    mine = items if parts[key] == 1 else items[salts == salt]
+                    if len(mine):
+                        for c, v in zip(out, (key, salt, row, root, mine.tobytes())):
                             out[c].append(v)
         return out
 
     def met(table):
-        """Of the places of whole groups the shingles that several roots have, beside several others."""
+        """Of the rows of whole groups the shingles that several roots have, beside several others."""
         key, salt, row, root = (table.column(c).to_numpy() for c in ("key", "salt", "row", "root"))
         group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
-        size = np.array([len(x.as_buffer()) // 4 for x in table.column("h")], np.int64)
-        h, beside = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32) for c in ("h", "beside"))
-        place = np.repeat(np.arange(len(key)), size)
+        items = table.column("items").to_pylist()
+        place = np.repeat(np.arange(len(key)), [len(x) // 8 for x in items])
+        items = np.frombuffer(b"".join(items), np.uint64)
+        h, beside = items >> np.uint64(32), items & np.uint64(0xFFFFFFFF)
         item = group[place].astype(np.uint64) << np.uint64(32) | h
         order = np.argsort(item, kind="stable")
         item = item[order]
@@ -561,18 +612,21 @@ def _apart(left: DataFrame, roots: DataFrame, texts: DataFrame, min_words: int,
         return pa.RecordBatch.from_arrays([pa.array(v) for v in (key[at], h[some].astype(np.int64), beside[some].astype(np.int64), row[at], root[at])], names=["key", "h", "beside", "row", "root"])
 
     def meet(batches):
-        kept = None
+        kept: list = []  # batches of one group, which may go on
         for batch in batches:
-            table = pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch])
-            if not table.num_rows:
+            if not batch.num_rows:
                 continue
-            key, salt = (table.column(c).to_numpy() for c in ("key", "salt"))
+            key, salt = (batch.column(c).to_numpy() for c in ("key", "salt"))
             whole = int(((key != key[-1]) | (salt != salt[-1])).sum())
+            if kept and (kept[-1].column("key")[0].as_py(), kept[-1].column("salt")[0].as_py()) != (key[0], salt[0]):
+                yield met(pa.Table.from_batches(kept))
+                kept = []
             if whole:
-                yield met(table.slice(0, whole))
-            kept = table.slice(whole)
-        if kept is not None:
-            yield met(kept)
+                yield met(pa.Table.from_batches([*kept, batch.slice(0, whole)]))
+                kept = []
+            kept.append(batch.slice(whole))
+        if kept:
+            yield met(pa.Table.from_batches(kept))
         pa.default_memory_pool().release_unused()
 
     def of_several(rows, by):
@@ -582,18 +636,39 @@ def _apart(left: DataFrame, roots: DataFrame, texts: DataFrame, min_words: int,
 
     some = checkpoint(left.select("key", "row").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")))
     some = of_several(some, "key").groupBy("row", "root").agg(F.collect_set("key").alias("keys"))
-    each = checkpoint(map_rows(some.join(texts.select("row", "text"), "row"), stretches, "g long, row long, root long, at int, key long", char_col="text"))
-    places = checkpoint(of_several(each, "g").select("row", "root", "at", "key").distinct())
-    crowds = places.groupBy("key").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts")).where("parts > 1")
-    some = places.join(crowds, "key", "left").groupBy("row", "root", F.floor(F.col("at") / READ)).agg(F.collect_list(F.struct("at", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("places"))
-    each = map_rows(some.select("row", "root", "places").join(texts.select("row", "text"), "row"), beyond, "key long, salt int, row long, root long, h binary, beside binary", size=64, char_col="text")
-    shared = checkpoint(each.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(meet, "key long, h long, beside long, row long, root long").distinct())
+    each = checkpoint(map_rows(some.join(texts.select("row", "text"), "row"), stretches, "g long, row long, root long, key long", char_col="text"))
+    places = checkpoint(of_several(each, "g"))
+    crowds = places.select("key", "row").distinct().groupBy("key").agg(F.least(F.ceil(F.count("*") / CROWD), F.lit(PARTS)).cast("int").alias("parts")).where("parts > 1")
+    some = places.join(crowds, "key", "left").groupBy("row", "root").agg(F.collect_list(F.struct("g", "key", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("some"))
+    each = map_rows(some.join(texts.select("row", "text"), "row"), beyond, "key long, salt int, row long, root long, items binary", size=64, char_col="text", chars=1_000_000)
+    shared = checkpoint(each.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(meet, "key long, h long, beside long, row long, root long"))
     a = shared.select("key", "h", "row", F.col("beside").alias("p"), F.col("root").alias("r"))
     b = shared.select("key", "h", F.col("row").alias("lead"), F.col("beside").alias("q"), F.col("root").alias("s"))
     pairs = a.hint("merge").join(b, ["key", "h"]).where((F.col("p") != F.col("q")) & (F.col("r") != F.col("s")) & (F.col("lead") < F.col("row")))
     return pairs.select("row", "lead", "key").distinct()
 
 
+def _led(batches):
+    """(key, row, lead) of (key, row) in order: those of keys with several rows, with the first of them."""
+    key = lead = None  # of the last row, and of that alone while it is the first of its key
+    alone = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, rows = (batch.column(c).to_numpy() for c in ("key", "row"))
+        if key is not None:
+            keys, rows = np.concatenate([[key], keys]), np.concatenate([[lead], rows])
+        begins = np.concatenate([[True], keys[1:] != keys[:-1]])
+        leads = rows[np.maximum.accumulate(np.where(begins, np.arange(len(rows)), 0))]
+        several = ~begins
+        several[:-1] |= ~begins[1:]
+        if key is not None and not alone:
+            several[0] = False
+        alone = bool(begins[-1]) and (len(rows) > 1 or key is None or alone)
+        key, lead = keys[-1], leads[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(v[several]) for v in (keys, rows, leads)], names=["key", "row", "lead"])
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, rounds: int = 1) -> DataFrame:
     """(doc_id, class_id, n_words, n_repeated, spans): documents with a passage that another document has too.
 
@@ -619,11 +694,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
             keys.append(key.view(np.int64))
         return {"key": np.concatenate(keys), "row": np.concatenate(ids)}
 
-    # One row for each signature of a document, however often it repeats there. The leaders are a table of their own,
-    # so that both sides of the join are dealt anew and the adaptive plan splits the rows of a common signature.
-    found = scratch.written(map_rows(single.select("row", "text"), windows, "key long, row long", char_col="text"), "windows")
-    shared = scratch.written(found.groupBy("key").agg(F.min("row").alias("lead"), F.max("row").alias("last")).where("lead <> last").select("key", "lead"), "leaders")
-    met = scratch.written(found.hint("merge").join(shared, "key").select("key", "row", "lead"), "met")
+    # One row for each signature of a document, however often it repeats there. They are sorted once, and a signature's
+    # first row is its leader.
+    found = map_rows(single.select("row", "text"), windows, "key long, row long", char_col="text")
+    met = scratch.written(found.repartition("key").sortWithinPartitions("key", "row").mapInArrow(_led, "key long, row long, lead long"), "met")
 
     def verified(asked, name):
         """Each pair of (row, lead, key) once, with all its signatures."""

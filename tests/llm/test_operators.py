@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -431,6 +432,30 @@ def test_a_replaced_word_leaves_a_signature(n):
         assert np.intersect1d(*(passages.signatures(z.words, 50, 0.8)[0] for z in (a, b))).size
 
 
+def test_a_passage_of_the_least_length_with_a_replaced_word():
+    text = texts_of(13, 50)
+    for _ in range(20):
+        x = text()
+        y = [*x[:25], b"other", *x[26:]]
+        a, b = (passages.Text(text(40) + z + text(40), 50, 0.8) for z in (x, y))
+        keys = np.intersect1d(*(passages.signatures(z.words, 50, 0.8)[0] for z in (a, b))).view(np.int64).tolist()
+        assert passages.common_passages(a, b, keys, 0.8)[0] == [(40, 90, 40, 90)]
+
+
+def test_variety_and_leaders():
+    rng = np.random.default_rng(14)
+    for n in (1, 2, 30, 100):
+        x = rng.integers(0, 8, n).astype(np.uint64)
+        for width in (1, 3, 45):
+            assert passages._variety(x, width).tolist() == [len(set(x[i : i + width].tolist())) for i in range(n)]
+    for _ in range(300):
+        n = int(rng.integers(0, 14))
+        keys, cuts = np.sort(rng.integers(0, int(rng.integers(1, 8)), n)), np.sort(rng.integers(0, n + 1, 3))
+        batches = [pa.RecordBatch.from_pydict({"key": keys[i:j], "row": np.arange(i, j)}) for i, j in zip([0, *cuts], [*cuts, n])]
+        got = [tuple(r.values()) for b in passages._led(batches) for r in b.to_pylist()]
+        assert got == [(k, i, int(np.argmax(keys == k))) for i, k in enumerate(keys.tolist()) if (keys == k).sum() > 1]
+
+
 def context_at(text, k):
     return text.contexts[[k]].view(np.int64).tolist()
 
@@ -563,6 +588,27 @@ def test_surroundings_are_one_row_a_place(spark, monkeypatch):
     assert max(made) <= 100 * len(rows)
 
 
+def test_what_a_text_repeats_is_read_once(spark, monkeypatch):
+    """Texts that repeat a line of 30 words, which all have, and one of their own: rows go by what is different in a text."""
+    text, made = texts_of(15, 30), []
+    line = text()
+    rows = [(d, b" ".join((line + text(25)) * 20).decode()) for d in range(20)]
+
+    def counted(*args, f=passages.map_rows, **kw):
+        out = f(*args, **kw)
+        made.append(out.count())
+        return out
+
+    def last_step(*args, f=passages._apart):
+        made.clear()
+        monkeypatch.setattr(passages, "map_rows", counted)
+        return f(*args)
+
+    monkeypatch.setattr(passages, "_apart", last_step)
+    assert not passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert max(made[:2]) <= 100 * len(rows)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
